@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, pieces, pii, secrets, toxicity
+from . import media, minhash, packing, pieces, pii, secrets, toxicity
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle=4)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,6 +42,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_pii": op1_pii,
     "op3_secret_scans": op3_secret_scans,
+    "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_media_columns": op7_media_columns,
