@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, minhash, packing, pieces, pii, secrets, toxicity
+from . import html_extract, media, minhash, packing, pieces, pii, secrets, toxicity
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_texts(documents(spark, sf_dir)))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(documents(spark, sf_dir, "pages"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -46,6 +50,7 @@ QUERIES: dict = {
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_media_columns": op7_media_columns,
+    "op9_html_extraction": op9_html_extraction,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {}
