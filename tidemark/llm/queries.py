@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, media, minhash, packing, pieces, pii, secrets, toxicity
+from . import html_extract, ibloom, media, minhash, packing, pieces, pii, secrets, toxicity
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_texts(documents(spark, sf_dir)))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ibloom.fingerprints(documents(spark, sf_dir))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(documents(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES: dict = {
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_media_columns": op7_media_columns,
+    "op8_fingerprints": op8_fingerprints,
     "op9_html_extraction": op9_html_extraction,
     "op10_sentencepiece": op10_sentencepiece,
 }
