@@ -27,7 +27,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, text_of
+from .common import bounded_batches, map_batches, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Context terms on either side of a span.
@@ -188,6 +188,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     text = text_of(text_col)
     with_terms = kept.join(terms, F.col(id_col).cast("long").eqNullSafe(F.col("__t_id")) & (F.xxhash64(text) == F.col("__t_hash")), "left")
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def masked(texts, extra):
         import pandas as pd

@@ -4,15 +4,47 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_extract, ibloom, media, minhash, packing, pieces, pii, secrets, toxicity
-from .common import documents
+from . import html_extract, ibloom, media, minhash, packing, pieces, pii, secrets, token_rollup, toxicity
+from .common import documents, shared_dir, text_of
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches, each sent twice: all documents come, tables lose their bars, toxic documents go."""
+    docs = documents(spark, sf_dir)
+    without_bars = F.replace(text_of(), F.lit("|"), F.lit(""))
+    revised = docs.withColumn("text", without_bars)
+    toxic = documents(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    has_bars = text_of().contains("|")
+    batches = {
+        "1-insert": docs.withColumn("sign", F.lit(1)),
+        "2-revise": token_rollup.revisions(docs.where(has_bars), docs.where(has_bars).withColumn("text", without_bars)),
+        "3-delete": revised.join(toxic, "doc_id", "left_semi").withColumn("sign", F.lit(-1)),
+    }
+    rollup = token_rollup.Rollup(spark, shared_dir(spark, "token-rollup"))
+    for batch_id, changes in [*batches.items(), *batches.items()]:
+        rollup.commit(batch_id, changes)
+    return rollup.totals()
+
+
+OP2_COUNTS = [f"SELECT source, lang, '{name}' AS tokenizer, len(regexp_extract_all(text, '{pattern}')) AS tokens, length(text) AS chars FROM kept" for name, pattern in token_rollup.PATTERNS.items()]
+OP2_SQL = f"""
+WITH kept AS (
+    SELECT source, lang, replace(coalesce(text, ''), '|', '') AS text FROM documents
+    WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+), counted AS (
+    {" UNION ALL ".join(OP2_COUNTS)}
+)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(tokens)::BIGINT AS n_tokens, sum(chars)::BIGINT AS n_chars
+FROM counted GROUP BY source, lang, tokenizer
+"""
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(documents(spark, sf_dir))
 
@@ -49,6 +81,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op1_pii": op1_pii,
+    "op2_token_counts": op2_token_counts,
     "op3_secret_scans": op3_secret_scans,
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
@@ -58,4 +91,4 @@ QUERIES: dict = {
     "op9_html_extraction": op9_html_extraction,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_token_counts": OP2_SQL}

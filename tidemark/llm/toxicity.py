@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import bounded_batches, map_batches, text_of
 
 TRAIN_ROWS = 4000
 #: Occurrences in different contexts, and toxic documents, that a term needs.
@@ -325,6 +325,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that the model rejects; same columns."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("boolean")
     def is_clean(texts):
         import pandas as pd
