@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.sources.shared import shared_dir, stored
+
 #: Rows of one Arrow batch that goes to a Python worker. Texts average some kB with a long tail.
 BATCH_ROWS = 256
 
@@ -58,33 +57,7 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
-
-    The setting is read from the session. Only where it is unset (local tests) a
-    temporary folder of this machine takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-work")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there and lost executors cost nothing."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the folders behind frames made by stored()."""
-    jvm = spark.sparkContext._jvm
-    for df in frames:
-        for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(uri)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["BATCH_ROWS", "bounded_batches", "documents", "map_batches", "shared_dir", "stored", "text_of"]
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
