@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Path components that scans leave out, and those that watching leaves out.
-EXCLUDED = (".respawn", ".git", ".DS_Store")
-UNTRACKED = (".respawn", ".git")
+EXCLUDED = (".tidemark", ".git", ".DS_Store")
+UNTRACKED = (".tidemark", ".git")
 MODE_BITS = 0o777
 LONGEST_PATH = 1024
 LEAST_INTERVAL = 60

@@ -130,7 +130,7 @@ def q_prune_dirs(spark, sf):
 PATTERNS = ["blog", "/fr/"]
 
 
-@query("SELECT page_id, url FROM pages WHERE NOT contains(url, 'blog') AND NOT contains(url, '/fr/') AND NOT list_has_any(string_split(url, '/'), ['.respawn', '.git', '.DS_Store'])")
+@query("SELECT page_id, url FROM pages WHERE NOT contains(url, 'blog') AND NOT contains(url, '/fr/') AND NOT list_has_any(string_split(url, '/'), ['.tidemark', '.git', '.DS_Store'])")
 def q_scan_filter(spark, sf):
     pages = fx.table(spark, sf, "pages").select("page_id", "url")
     return pages.where(~scalars.ignored(F.col("url"), PATTERNS) & ~scalars.excluded(F.col("url")))
