@@ -187,3 +187,40 @@ def test_pull_anchor_and_orders(spark, store, tmp_path):
     open(path, "w").write("".join(text[1:]))
     with pytest.raises(wh.Corrupt):
         store.verify_anchor(a)
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from tidemark import __main__ as cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    root = tree(tmp_path / "c")
+    monkeypatch.chdir(root)
+    assert cli.main(["status"]) == 1, "no store yet"
+    assert cli.main(["init"]) == 0 and cli.main(["snap", "-m", "first"]) == 0
+    (root / "a.txt").write_text("other")
+    capsys.readouterr()
+    assert cli.main(["status"]) == 0
+    assert capsys.readouterr().out == "~ a.txt\n0 added, 1 modified, 0 deleted\n"
+    assert cli.main(["revert", "head"]) == 1
+    assert cli.main(["revert", "head", "--force"]) == 0 and (root / "a.txt").read_text() == "hello"
+    assert cli.main(["guard", "--", sys.executable, "-c", "raise SystemExit(7)"]) == 7
+    capsys.readouterr()
+    assert cli.main(["log"]) == 0 and "first" in capsys.readouterr().out
+    assert cli.main(["--key", str(tmp_path / "k"), "anchor", "keygen"]) == 0
+    assert cli.main(["--key", str(tmp_path / "k"), "anchor", "create", str(tmp_path / "anchors")]) == 0
+    assert cli.main(["verify", "--objects"]) == 0
+    assert cli.main(["show", "ffff"]) == 1
+
+
+def test_change_source(spark, tmp_path):
+    from tidemark.sources.changes import ChangeReader
+
+    root = tree(tmp_path / "s")
+    reader = ChangeReader(str(root))
+    start = reader.initialOffset()
+    (root / "a.txt").write_text("longer than before")
+    os.unlink(root / "dir/b.txt")
+    rows, end = reader.read(start)
+    assert [p for _, p in rows] == ["a.txt", "dir/b.txt"]
+    assert [p for _, p in reader.readBetweenOffsets(start, end)] == ["a.txt", "dir/b.txt"]
+    assert list(reader.read(end)[0]) == []
