@@ -41,7 +41,7 @@ def effective(entries: DataFrame, name: str) -> DataFrame:
     return kept.groupBy("path").agg(F.max_by("content", "seq").alias("content"), F.max("seq").alias("seq"))
 
 
-def manifest(entries: DataFrame, snapshots: DataFrame, name: str, head_seq: Column) -> DataFrame:
+def manifest(entries: DataFrame, snapshots: DataFrame, name: str, head_seq: Column | int) -> DataFrame:
     """(path, content, source) of the undone manifest."""
     head = entries.where(F.col("seq") == head_seq).select("path", F.col("content").alias("head"))
     t = touched(entries, snapshots, name).withColumn("is_touched", F.lit(True))
@@ -52,6 +52,6 @@ def manifest(entries: DataFrame, snapshots: DataFrame, name: str, head_seq: Colu
     return x.select("path", content.alias("content"), source.alias("source")).where(F.col("content").isNotNull())
 
 
-def removed(entries: DataFrame, snapshots: DataFrame, name: str, head_seq: Column) -> DataFrame:
+def removed(entries: DataFrame, snapshots: DataFrame, name: str, head_seq: Column | int) -> DataFrame:
     """(path): touched paths that the undone manifest lacks; reverting unlinks them."""
     return touched(entries, snapshots, name).select("path").join(manifest(entries, snapshots, name, head_seq), "path", "left_anti")

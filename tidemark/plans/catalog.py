@@ -18,7 +18,7 @@ from tidemark.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-HEAD = F.lit(29)
+HEAD = 29
 
 
 def query(sql: str | None = None):
