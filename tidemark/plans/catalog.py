@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.functions.hashing import fan_out, purge_id, short
+from tidemark.functions.hashing import audit_body, fan_out, json_string, purge_id, short
 from tidemark.operators import chains, chunks, diff, history, purge, replication, undo, watching
 from tidemark.plans import fixtures as fx
+from tidemark.sources import manifests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -188,6 +189,28 @@ def q_hash_forms(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", short(h).alias("short"), fan_out(h).alias("prefix"), purge_id(F.col("source"), h).alias("purge_id"), scalars.stamp_nanos(F.col("doc_id"), F.lit(7)).alias("stamp"))
 
 
+@query("""SELECT event_id, to_json(props)::VARCHAR AS quoted, sha256('[' || event_id || ',' || floor(epoch(ts))::BIGINT || ',' || to_json(event_type) || ',' || to_json(props) || ',""]') AS hash FROM events""")
+def q_json_forms(spark, sf):
+    """JSON string literals and the hash of an audit entry's body."""
+    e = fx.table(spark, sf, "events")
+    body = audit_body(F.col("event_id"), F.unix_timestamp(F.col("ts").cast("timestamp")), F.col("event_type"), F.col("props"), F.lit(""))
+    return e.select("event_id", json_string(F.col("props")).alias("quoted"), F.sha2(body, 256).alias("hash"))
+
+
+@query("SELECT doc_id, chr(39) || replace(source || chr(39) || lang, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) AS quoted, contains(source, '1') AS has_one FROM documents")
+def q_quoting(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", scalars.shell_quoted(F.concat("source", F.lit("'"), "lang")).alias("quoted"), scalars.ignored(F.col("source"), ["1"]).alias("has_one"))
+
+
+@query(f"WITH {fx.DOC_SQL} SELECT string_split(path, '/')[1] AS snapshot_id, path, content, size, mode::INTEGER AS mode FROM doc_old")
+def q_manifest_round_trip(spark, sf):
+    """Manifests of each source as JSON documents with byte-array hashes, read back."""
+    old = fx.doc_old(spark, sf).withColumns({"snapshot_id": F.split("path", "/")[0], "pos": F.col("mtime_secs"), "chunks": F.array("content")})
+    heads = old.select("snapshot_id").distinct().select("snapshot_id", F.lit(3).alias("version"), F.sha2("snapshot_id", 256).alias("parent_id"), F.lit(1).cast("long").alias("timestamp_secs"), F.lit("m").alias("message"), F.lit(None).cast("string").alias("actor"), F.array().cast("array<string>").alias("unstable"))
+    back = manifests.entries(manifests.decoded(manifests.encoded(heads, old)))
+    return back.select("snapshot_id", "path", "content", "size", "mode")
+
+
 # --- chunks -----------------------------------------------------------------------------
 
 
