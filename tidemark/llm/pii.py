@@ -147,9 +147,8 @@ def disclosing(scanned: DataFrame, docs: DataFrame, text_col: str = "text", min_
     support = seen.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= min_support)
     candidates = stored(support, "pii-candidates")
     entities = seen.select("entity", "near").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    wanted = candidates.select("term").distinct()
     words = docs.select(F.array_distinct(F.split(F.lower(text_of(text_col)), f"[^{LETTERS}]+")).alias("words"))
-    in_docs = words.select(F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    in_docs = words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))  # summed before it meets the candidates
     n = F.lit(float(docs.count()))
     pmi, ic = F.log2(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))), F.log2(n / F.col("n_c"))
     scored = candidates.join(entities, "entity").join(in_docs, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
