@@ -22,13 +22,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic = documents(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
     has_bars = text_of().contains("|")
     batches = {
-        "1-insert": docs.withColumn("sign", F.lit(1)),
-        "2-revise": token_rollup.revisions(docs.where(has_bars), docs.where(has_bars).withColumn("text", without_bars)),
-        "3-delete": revised.join(toxic, "doc_id", "left_semi").withColumn("sign", F.lit(-1)),
+        "1-insert": (docs.withColumn("sign", F.lit(1)), None),
+        "2-revise": (token_rollup.revisions(docs.where(has_bars), docs.where(has_bars).withColumn("text", without_bars)), None),
+        "3-delete": (revised.withColumn("sign", F.lit(-1)), toxic),
     }
     rollup = token_rollup.Rollup(spark, shared_dir(spark, "token-rollup"))
-    for batch_id, changes in [*batches.items(), *batches.items()]:
-        rollup.commit(batch_id, changes)
+    for batch_id, (changes, only) in [*batches.items(), *batches.items()]:
+        rollup.commit(batch_id, changes, only)
     return rollup.totals()
 
 

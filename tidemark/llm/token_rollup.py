@@ -33,28 +33,29 @@ BATCH_ID = re.compile(r"[A-Za-z0-9_.-]{1,128}")
 
 
 def counted(docs: DataFrame, bpe_path: str | None = None, bpe_name: str = "byte_bpe_50k", text_col: str = "text") -> DataFrame:
-    """docs' source, lang and sign with a row for each tokenizer version: counts of one document.
+    """docs' doc_id, source, lang and sign with a row for each tokenizer version: counts of one document.
 
     Rule tokenizers count in SQL. With bpe_path, the ranks of a byte-level vocabulary for
     tiktoken, that version is counted too, in one pass of Python workers.
     """
     text = text_of(text_col)
     sign = F.col("sign").cast("int") if "sign" in docs.columns else F.lit(1)
-    base = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), sign.alias("sign"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    base = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), sign.alias("sign"), text.alias("text"))
     counts = [F.struct(F.lit(name).alias("tokenizer"), F.regexp_count("text", F.lit(pattern)).cast("long").alias("tokens")) for name, pattern in PATTERNS.items()]
-    rows = base.select("source", "lang", "sign", F.length("text").cast("long").alias("chars"), F.explode(F.array(*counts)).alias("c")).select("source", "lang", "sign", "chars", "c.tokenizer", "c.tokens")
+    rows = base.select("doc_id", "source", "lang", "sign", F.length("text").cast("long").alias("chars"), F.explode(F.array(*counts)).alias("c")).select("doc_id", "source", "lang", "sign", "chars", "c.tokenizer", "c.tokens")
     if bpe_path is None:
         return rows
 
     def make():
         encoder = byte_encoder(bpe_path)
 
-        def f(sources, langs, signs, texts):
-            return sources, langs, signs, [len(t) for t in texts], [bpe_name] * len(texts), [len(encoder.encode_ordinary(t)) for t in texts]
+        def f(ids, sources, langs, signs, texts):
+            return ids, sources, langs, signs, [len(t) for t in texts], [bpe_name] * len(texts), [len(encoder.encode_ordinary(t)) for t in texts]
 
         return f
 
-    return rows.union(map_batches(base, make, "source string, lang string, sign int, chars long, tokenizer string, tokens long"))
+    return rows.union(map_batches(base, make, "doc_id long, source string, lang string, sign int, chars long, tokenizer string, tokens long"))
 
 
 _encoders: dict = {}
@@ -93,14 +94,20 @@ class Rollup:
         fs, p = self._fs(f"{self.path}/commits")
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Apply changes (text, source, lang, sign: 1 or -1) once; False if the batch was applied before."""
+    def commit(self, batch_id: str, changes: DataFrame, only: DataFrame | None = None) -> bool:
+        """Apply changes (text, source, lang, sign: 1 or -1) once; False if the batch was applied before.
+
+        only: doc_id of the changes that count, where the batch is given by ids. Counts are
+        joined with them, not texts, so no text is shuffled however many ids there are.
+        """
         if not BATCH_ID.fullmatch(batch_id):
             raise ValueError(f"batch id {batch_id!r}")
         fs, marker = self._fs(f"{self.path}/commits/{batch_id}")
         if fs.exists(marker):
             return False
-        summed(counted(changes, self.bpe_path)).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
+        rows = counted(changes, self.bpe_path)
+        rows = rows if only is None else rows.join(only.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+        summed(rows).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
         try:
             fs.create(marker, False).close()  # fails if another driver was first
         except Exception:
