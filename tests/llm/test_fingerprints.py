@@ -56,3 +56,15 @@ def test_plan_is_native_and_shuffles_texts_once(spark):
     df = ibloom.fingerprints(spark.createDataFrame(documents(), "doc_id long, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_unlike_texts_are_recovered_exactly(spark):
+    """Pairs that share nothing: every digest that differs is recovered, none estimated."""
+    docs = [(i, "\n".join(f"d{i} line{k} of its own" for k in range(n))) for i, n in enumerate((60, 61, 5, 40, 90, 33, 17, 64))]
+    rows = {r["doc_id"]: r for r in ibloom.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    order = [t for _, t in docs]
+    sets = [set(r["d"]) for r in spark.createDataFrame(list(enumerate(order)), "i int, t string").orderBy("i").select(ibloom.digests(F.col("t")).alias("d")).collect()]
+    for k in range(len(docs)):
+        a, b = sets[k], sets[(k + 1) % len(docs)]
+        assert {(d["count"], d["key"]) for d in rows[k]["differs_next"]} == {(1, x) for x in a - b} | {(-1, x) for x in b - a}
+        assert rows[k]["near_next"] == round(1 - len(a ^ b) / (len(a) + len(b)), 9)

@@ -10,8 +10,8 @@ check fits its digest holds just that digest, which then leaves its other cells.
 The printed fingerprint is the smallest sketch, ``PRINTED`` cells a sub-table, with the
 number of digests; two of them are subtracted and peeled first. If that fails, a larger
 sketch is: shards (independent small sketches, dealt by digest), as many as the sizes of
-the texts suggest, so that the cost is linear in them. Where even a shard holds too much
-that differs, its share is estimated from the number of cells in use.
+the texts suggest, so that the cost is linear in them. A shard that can't be peeled is
+sketched again with twice the cells, doubled until it can; nothing is estimated.
 
     likeness = 1 - differing digests / digests of both (1 if both have none)
 
@@ -38,6 +38,9 @@ TINY_CHARS = 64
 PRINTED, CELLS = 4, 8
 #: Digests of a document and another for each shard; more cells in use than this are not tried.
 LOAD, TRIED = 16, 18
+#: How often a shard's cells are doubled; the last layout has 32,768 a sub-table for some 20 digests.
+DOUBLED = 12
+FOUND = "array<struct<count:int,key:bigint>>"
 ROUNDS = 6
 RANGE_BITS, SUPER_BITS = 6, 12
 
@@ -57,7 +60,7 @@ def check_of(key: Column) -> Column:
     return F.xxhash64(key, F.lit(11))
 
 
-def cell_of(key: Column, table: Column, cells: int, seed: int) -> Column:
+def cell_of(key: Column, table: Column, cells: int | Column, seed: int | Column) -> Column:
     """Cell number over all three sub-tables."""
     return (F.pmod(F.xxhash64(key, table, F.lit(seed)), F.lit(cells)) + table * cells).cast("int")
 
@@ -67,8 +70,8 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def peel(cells: Column, width: int, seed: int) -> Column:
-    """How many digests a subtracted sketch holds, null if it can't be peeled. cells: cell, count, key and check of those that aren't zero."""
+def recovered(cells: Column, width: int | Column, seed: int | Column) -> Column:
+    """The digests (count and key) a subtracted sketch holds, null if it can't be peeled. cells: cell, count, key and check of those that aren't zero."""
 
     def one_round(state: Column, _: Column) -> Column:
         pure = F.filter(state["cells"], lambda c: (F.abs(c["count"]) == 1) & (c["check"] == check_of(c["key"])))
@@ -80,32 +83,66 @@ def peel(cells: Column, width: int, seed: int) -> Column:
             return F.when(F.array_contains(q["at"], c["cell"]), less).otherwise(c)
 
         def after(pure: Column) -> Column:
-            left = F.filter(F.transform(state["cells"], lambda c: F.aggregate(pure, c, without)), lambda c: ~((c["count"] == 0) & (c["key"] == 0) & (c["check"] == 0)))
-            return F.when(F.size(pure) == 0, state).otherwise(F.struct(left.alias("cells"), (state["found"] + F.size(pure)).alias("found")))
+            left = F.filter(F.transform(state["cells"], lambda c: F.aggregate(pure, c, without)), in_use)
+            found = F.concat(state["found"], F.transform(pure, lambda q: F.struct(q["count"].alias("count"), q["key"].alias("key"))))
+            return F.when(F.size(pure) == 0, state).otherwise(F.struct(left.alias("cells"), found.alias("found")))
 
         return F.when(F.size(state["cells"]) == 0, state).otherwise(bound(pure, after))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast(FOUND).alias("found"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round, lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
 
 
+def peel(cells: Column, width: int | Column, seed: int | Column) -> Column:
+    """How many digests a subtracted sketch holds, null if it can't be peeled."""
+    return F.array_size(recovered(cells, width, seed))
+
+
+def in_use(c: Column) -> Column:
+    return (c["count"] != 0) | (c["key"] != 0) | (c["check"] != 0)
+
+
 def subtracted(cells: Column, side: int) -> Column:
     """The document's cells less those of another side, without zeros. cells: cell and count, key and check of each side."""
     less = F.transform(cells, lambda c: F.struct(c["cell"].alias("cell"), (c["c0"] - c[f"c{side}"]).alias("count"), c["k0"].bitwiseXOR(c[f"k{side}"]).alias("key"), c["h0"].bitwiseXOR(c[f"h{side}"]).alias("check")))
-    return F.filter(less, lambda c: (c["count"] != 0) | (c["key"] != 0) | (c["check"] != 0))
+    return F.filter(less, in_use)
+
+
+def sketched(items: Column, width: Column, seed: Column) -> Column:
+    """The subtracted sketch of a shard's digests in a layout of its own, without zeros. items: count, key and check."""
 
+    def table(j: int) -> Column:
+        placed = F.transform(items, lambda i: F.struct(cell_of(i["key"], F.lit(j), width, seed).alias("cell"), i["count"].alias("count"), i["key"].alias("key"), i["check"].alias("check")))
 
-def estimate(used: Column) -> Column:
-    """Digests in a shard, from the number of its cells in use."""
-    n = 3.0 * CELLS
-    return -F.log(F.greatest(F.lit(0.5), F.lit(n) - used) / n) * (n / 3)
+        def summed(placed: Column) -> Column:
+            def add(x: Column, p: Column) -> Column:
+                more = F.struct(x["cell"].alias("cell"), (x["count"] + p["count"]).alias("count"), x["key"].bitwiseXOR(p["key"]).alias("key"), x["check"].bitwiseXOR(p["check"]).alias("check"))
+                return F.when(x["cell"] == p["cell"], more).otherwise(x)
+
+            zero = lambda c: F.struct(c.alias("cell"), F.lit(0).alias("count"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
+            return F.transform(F.array_distinct(F.transform(placed, lambda p: p["cell"])), lambda c: F.aggregate(placed, zero(c), add))
+
+        return bound(placed, summed)
+
+    return F.filter(F.concat(*[table(j) for j in range(3)]), in_use)
+
+
+def of_shard(cells: Column, side: int) -> Column:
+    """The digests that differ in one shard: by its sketch, then by larger ones, doubled until one can be peeled."""
+    kept = lambda c: c["cell"] >= 3 * CELLS
+    first = bound(subtracted(F.filter(cells, lambda c: ~kept(c)), side), lambda x: F.when(F.size(x) <= TRIED, recovered(x, CELLS, 1)))
+    own = F.filter(cells, lambda c: kept(c) & (c["c0"] != c[f"c{side}"]))
+    items = F.transform(own, lambda c: bound(c["k0"].bitwiseXOR(c[f"k{side}"]), lambda key: F.struct((c["c0"] - c[f"c{side}"]).alias("count"), key.alias("key"), check_of(key).alias("check"))))
+    widths = F.array(*[F.lit(CELLS << t) for t in range(1, DOUBLED + 1)])
+    larger = lambda items: lambda done, width: F.when(done.isNotNull(), done).otherwise(bound(sketched(items, width, width), lambda x: recovered(x, width, width)))
+    retried = bound(items, lambda items: F.aggregate(widths, F.lit(None).cast(FOUND), larger(items)))
+    return F.coalesce(first, retried, F.raise_error(F.lit("a shard could not be peeled")).cast(FOUND))
 
 
 def differing(small: Column, shards: Column, side: int) -> Column:
-    """Number of digests that differ between the document and another side."""
-    first = bound(subtracted(small, side), lambda x: F.when(F.size(x) < 3 * PRINTED, peel(x, PRINTED, 3)).cast("double"))
-    each = F.transform(F.transform(shards, lambda x: subtracted(x, side)), lambda x: F.coalesce(F.when(F.size(x) <= TRIED, peel(x, CELLS, 1)).cast("double"), estimate(F.size(x))))
-    return F.coalesce(first, F.aggregate(each, F.lit(0.0), lambda a, x: a + x))
+    """The digests that differ between the document and another side: count 1 if the document has it, else -1."""
+    first = bound(subtracted(small, side), lambda x: F.when(F.size(x) < 3 * PRINTED, recovered(x, PRINTED, 3)))
+    return F.array_sort(F.coalesce(first, F.flatten(F.transform(shards, lambda x: of_shard(x, side)))))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,7 +169,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, both fingerprints and both likenesses of each row.
+    """doc_id, n_chars, edited_sha256, both fingerprints, both likenesses and the digests that differ, of each row.
+
+    differs_edited and differs_next hold count and key: 1 for a digest that only the
+    document has, -1 for one that only the other side has.
 
     The edited text is the document's own with its last quarter of code points replaced
     by the first as many of the next document.
@@ -151,12 +191,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = sets.withColumn("shards", F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), total / LOAD)))).cast("int"))
     item = lambda side: lambda k: F.struct(F.lit(side).alias("side"), k.alias("key"))
     every = F.concat(*[F.transform(f"d{s}", item(s)) for s in range(3)], F.transform("facts", lambda k, i: F.struct((i + 3).alias("side"), k.alias("key"))))
-    items = sets.select(*row_key, "shards", F.explode(every).alias("i")).select(*row_key, "shards", "i.side", "i.key")
-    # tables 0 to 2: the printed sketch; 3 to 5: the larger one; 6: facts
-    items = items.withColumn("t", F.explode(F.when(F.col("side") < 3, F.sequence(F.lit(0), F.lit(5))).otherwise(F.array(F.lit(6)))))
+    items = sets.select(*row_key, "shards", F.posexplode(every).alias("place", "i")).select(*row_key, "shards", "place", "i.side", "i.key")
+    # tables 0 to 2: the printed sketch; 3 to 5: the larger one; 6: facts; 7: the digests of a shard, for larger sketches of it
+    items = items.withColumn("t", F.explode(F.when(F.col("side") < 3, F.array(*[F.lit(t) for t in (0, 1, 2, 3, 4, 5, 7)])).otherwise(F.array(F.lit(6)))))
     key, t, side = F.col("key"), F.col("t"), F.col("side")
-    level = F.when(t < 3, 0).when(t < 6, 1).otherwise(2)
-    cell = F.when(t < 3, cell_of(key, t, PRINTED, 3)).when(t < 6, cell_of(key, t - 3, CELLS, 1)).otherwise(side - 3)
+    level = F.when(t < 3, 0).when(t == 6, 2).otherwise(1)
+    cell = F.when(t < 3, cell_of(key, t, PRINTED, 3)).when(t < 6, cell_of(key, t - 3, CELLS, 1)).when(t == 6, side - 3).otherwise(F.col("place") + 3 * CELLS)
     shard = F.when(level == 1, F.pmod(F.xxhash64(key, F.lit(101)), F.col("shards")).cast("int")).otherwise(0)
     placed = items.select(*row_key, level.alias("level"), shard.alias("shard"), cell.alias("cell"), side.alias("side"), key.alias("key"), check_of(key).alias("check"))
     of = lambda k, c: F.when(F.col("side") == k, F.col(c) if isinstance(c, str) else c).otherwise(F.lit(0).cast("long"))
@@ -180,6 +220,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def near(k: int) -> Column:
         both = F.col("n0") + F.col(f"n{k}")
-        return F.when(both == 0, F.lit(1.0)).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col(f"x{k}") / both)), 9))
+        return F.when(both == 0, F.lit(1.0)).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.size(f"x{k}") / both)), 9))
 
-    return done.select("doc_id", F.col("facts")[4].alias("n_chars"), F.lower(F.concat(*[hexed(F.col("facts")[k]) for k in range(4)])).alias("edited_sha256"), printed(0).alias("fingerprint"), printed(1).alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next"))
+    return done.select("doc_id", F.col("facts")[4].alias("n_chars"), F.lower(F.concat(*[hexed(F.col("facts")[k]) for k in range(4)])).alias("edited_sha256"), printed(0).alias("fingerprint"), printed(1).alias("edited_fingerprint"), near(1).alias("near_edited"), near(2).alias("near_next"), F.col("x1").alias("differs_edited"), F.col("x2").alias("differs_next"))
