@@ -111,3 +111,14 @@ def test_disclosing_terms(spark):
     assert "term" not in rows[5], "copies of one context are one context"
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert "Zanzibarino" not in clean[0] and "[EMAIL]" in clean[0] and clean[20] == texts[20]
+
+
+def test_copies_of_a_document_do_not_hide_a_disclosing_term(spark):
+    """One of the four documents that hold a name beside an address has many copies."""
+    texts = [f"{w} Zanzibarino wrote {v} jo@mail.org on the {w} day" for w, v in zip("alpha beta gamma delta".split(), "one two three four".split(), strict=True)]
+    texts += [texts[0]] * 40 + [f"someone wrote about the day {k} and the weather" for k in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"].split(",") for r in pii.find(docs).collect()}
+    for i in range(44):
+        start = texts[i].index("Zanzibarino")
+        assert f"term:{start}:{start + 11}" in rows[i]

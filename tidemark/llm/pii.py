@@ -5,8 +5,9 @@ estimates how strongly other terms reveal a protected entity (one value of one k
 
     PMI(c; t) = log2( n(c,t) * N / (n(c) * n(t)) )        IC(c) = log2( N / n(c) )
 
-n(c) and n(c,t) count distinct context windows of c, so copies of a document count once;
-n(t) counts documents that hold t, over the whole corpus; N is the number of documents.
+n(c) and n(c,t) count distinct context windows of c; n(t) counts distinct texts that hold
+t, over the whole corpus; N is the number of distinct texts. So copies of a document
+count once on both sides.
 A term seen in at least ``min_support`` windows of c discloses c where
 PMI >= generalise * IC(c), and is removed rather than generalised from ``remove`` on.
 All its occurrences in documents that hold c near t become spans of kind ``term``.
@@ -147,9 +148,15 @@ def disclosing(scanned: DataFrame, docs: DataFrame, text_col: str = "text", min_
     support = seen.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= min_support)
     candidates = stored(support, "pii-candidates")
     entities = seen.select("entity", "near").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    words = docs.select(F.array_distinct(F.split(F.lower(text_of(text_col)), f"[^{LETTERS}]+")).alias("words"))
-    in_docs = words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))  # summed before it meets the candidates
-    n = F.lit(float(docs.count()))
+    by_text = scanned.groupBy("text_hash").agg(F.count("*").alias("rows"))
+    copied = stored(by_text.where("rows > 1").select(F.col("text_hash").alias("copied")), "pii-copied")
+    text = text_of(text_col)
+    rows = docs.select(F.xxhash64(text).alias("hash"), text.alias("text")).join(copied, F.col("hash") == F.col("copied"), "left")
+    words = rows.select("copied", F.array_distinct(F.split(F.lower("text"), f"[^{LETTERS}]+")).alias("words"))
+    # summed before it meets the candidates; only copied texts are told apart
+    in_texts = words.select("copied", F.explode("words").alias("term")).groupBy("term", "copied").agg(F.count("*").alias("rows"))
+    in_docs = in_texts.groupBy("term").agg(F.sum(F.when(F.col("copied").isNull(), F.col("rows")).otherwise(F.lit(1))).alias("n_t"))
+    n = F.lit(float(by_text.count()))
     pmi, ic = F.log2(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))), F.log2(n / F.col("n_c"))
     scored = candidates.join(entities, "entity").join(in_docs, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
     return scored.where(F.col("share") >= generalise).select("entity", "term", "share", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
