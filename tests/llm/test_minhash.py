@@ -51,8 +51,9 @@ def brute(texts, k):
 def test_against_all_pairs(spark, monkeypatch):
     texts = corpus(random.Random(11))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for k, block in ((4, 512), (5, 8)):  # with small blocks every group takes several
+    for k, block, shingles_held in ((4, 2048, 1 << 20), (5, 8, 200)):  # with small blocks every group takes several
         monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles_held)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, shingle=k).collect()}
         assert got == brute(texts, k)
 
@@ -80,3 +81,22 @@ def test_signature_estimates_similarity():
     b = np.concatenate([a[:800], rng.integers(0, 1 << 63, 200, dtype=np.uint64)])
     agree = (minhash.minima(a) == minhash.minima(b)).mean()
     assert abs(agree - 800 / 1200) < 0.15
+
+
+def test_texts_of_a_repeated_id(spark):
+    """Each text of an id links: 10 reaches 5 by the second text, 9 by the first, 3 by a link to 9's copy."""
+    rng = random.Random(8)
+    first, second = (rng.choices([f"w{k}" for k in range(500)], k=100) for _ in range(2))
+    near = lambda words, at: " ".join([*words[:at], "changed", *words[at + 1 :]])
+    rows = [(5, " ".join(first)), (5, " ".join(second)), (9, near(second, 50)), (10, near(first, 50)), (12, " ".join(first)), (12, " ".join(first)), (20, "all alone here in this text"), (None, "no id"), (7, None), (7, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {5: 5, 9: 5, 10: 5, 12: 5, 20: 20, None: None, 7: 7}
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in minhash.keep_first(docs).collect())
+    assert [k for k, _ in kept] == [0, 5, 7, 7, 20] and kept[1][1] in (rows[0][1], rows[1][1])
+
+
+def test_the_same_words_in_very_long_texts(spark):
+    words = [f"w{k}" for k in range(30_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:15_000], "x", *words[15_001:]])), (3, " ".join(words[:10_000]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}

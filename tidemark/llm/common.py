@@ -12,16 +12,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.sources.shared import shared_dir, stored
 
-#: Rows of one Arrow batch that goes to a Python worker. Texts average some kB with a long tail.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch that goes to a Python worker, at most (a single row may be longer).
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, as one row can hold a very long text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_LIMITS, as one row can hold a very long text.
+
+    Plans are lazy and read these settings when they run, so they stay set. A session's
+    own smaller limits are kept.
+    """
+    for key, most in BATCH_LIMITS.items():
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
@@ -57,7 +62,7 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-__all__ = ["BATCH_ROWS", "bounded_batches", "documents", "map_batches", "shared_dir", "stored", "text_of"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "bounded_batches", "documents", "map_batches", "shared_dir", "stored", "text_of"]
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
