@@ -20,6 +20,7 @@ packed once for each row. An empty table gives no rows. Extra columns are ignore
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import deque
 
@@ -139,15 +140,44 @@ class Packer:
             yield tuple(zip(*out, strict=True))
 
 
+class Known(dict):
+    """A table of what ``make`` gives for each key, in two generations of at most ``limit`` keys: the older goes when the newer is full."""
+
+    LONGEST = 64
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key: str):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable ones for themselves, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(0x100) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
 class WordTokenizer:
-    """Ids of a word-split BPE file for the tokenizers library, through a cache of words.
+    """Ids of a word-split BPE file for the tokenizers library, through a table of known words.
 
-    Texts of plain Latin letters, digits and marks are split here by the file's own
-    pattern, and each new word goes through the library once. All other texts (and those
-    with strings of special tokens) go to the library whole. Tests compare both ways.
+    Texts of plain Latin letters, digits and marks are cut at white space and then by the
+    file's own pattern; a new word goes through the library's merges. All other texts (and
+    those with strings of special tokens) go to the library whole. Tests compare both
+    ways. The table has a bounded number of keys of a bounded length.
     """
 
-    CACHE = 600_000
+    KNOWN = 400_000
 
     def __init__(self, path: str):
         import re
@@ -158,28 +188,22 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         # all code points below U+0250 but controls that count as white space in one library only, and numerals that are no digits
         self.odd = re.compile("[^\\t\\n\\r\\x20-\\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ňŊ-ſ–—‘-„…€]|<\\|")
-        self.word = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
-        self.cache: dict[str, bytes] = {}
+        split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+").findall
+        merge, letters = self.library.model.tokenize, byte_letters()
+
+        def of_chunk(chunk: str) -> bytes:
+            if not chunk.isalpha() and len(parts := split(chunk)) > 1:
+                return b"".join([known[w] for w in parts])
+            ids = [t.id for t in merge(chunk.encode().decode("latin-1").translate(letters))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        self.known = known = Known(of_chunk, self.KNOWN)
 
     def ids(self, text: str) -> np.ndarray:
         """Little-endian unsigned 32-bit ids of the whole text."""
         if self.odd.search(text):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words = self.word.findall(text.lower())
-        try:
-            raw = b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            if len(self.cache) > self.CACHE:
-                self.cache.clear()
-            new = [w for w in dict.fromkeys(words) if w not in self.cache]
-            found: list[list[int]] = [[] for _ in new]
-            coded = self.library.encode(" ".join(new), add_special_tokens=False)
-            for i, k in zip(coded.ids, coded.word_ids, strict=True):
-                found[k].append(i)
-            for w, ids in zip(new, found, strict=True):
-                self.cache[w] = np.asarray(ids, dtype="<u4").tobytes()
-            raw = b"".join(map(self.cache.__getitem__, words))
-        return np.frombuffer(raw, dtype="<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, text.lower().split())), dtype="<u4")
 
     def sentence_ends(self) -> np.ndarray:
         """Ids of the marks that end a sentence."""
