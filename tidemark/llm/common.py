@@ -57,12 +57,33 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
     return df.mapInArrow(run, out)
 
 
+class Known(dict):
+    """A table of what ``make`` gives for each key, in two generations of at most ``limit`` keys: the older goes when the newer is full."""
+
+    LONGEST = 64
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key: str):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 def text_of(name: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "bounded_batches", "documents", "map_batches", "shared_dir", "stored", "text_of"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "Known", "bounded_batches", "documents", "map_batches", "shared_dir", "stored", "text_of"]
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

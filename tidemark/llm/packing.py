@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import Known, map_batches, text_of
 
 WINDOW = 2048
 END_ID = 1
@@ -140,27 +140,6 @@ class Packer:
             yield tuple(zip(*out, strict=True))
 
 
-class Known(dict):
-    """A table of what ``make`` gives for each key, in two generations of at most ``limit`` keys: the older goes when the newer is full."""
-
-    LONGEST = 64
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, key: str):
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) <= self.LONGEST:
-            if len(self) >= self.limit:
-                self.older = dict(self)
-                self.clear()
-            self[key] = found
-        return found
-
-
 def byte_letters() -> dict[int, str]:
     """The letter that a byte-level vocabulary writes for each byte: printable ones for themselves, the others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -8,11 +8,16 @@ enough for a whole sequence to be what merging by rank would give. The ids are t
 off backwards, from the last prefix.
 
 No piece holds a space mark behind another character (checked on loading), so no merge
-crosses from a word to the next space, and each word with its leading space is encoded
-on its own and cached. Characters without a piece split a word and become byte pieces.
-Words with runs of space marks, whose merges tie in score, are merged directly.
-
-Null and empty texts give the end id alone, and decode to an empty text.
+crosses from a word to the next space. Marks that no piece has behind a letter (found on
+loading) part a word in the same way. Each part, with its leading space, is encoded on
+its own and kept in a bounded table. Characters without a
+piece split a word and become byte pieces. Words with runs of space marks, whose merges
+tie in score, are merged directly. Loading also checks that the model doesn't rewrite
+texts, by a text of characters that the usual normalisations change.
+
+Null and empty texts give the end id alone, and decode to an empty text. Very long texts
+are encoded whole. Rows that repeat get equal results each; an empty table gives no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +28,20 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import Known, map_batches, text_of
 
 MARK = "▁"
+#: What normalisations would change: ligature, full width, combining mark, runs of spaces, line end, no-break space.
+ODD = "ﬁ Ａ e\u0301  x \n\u00a0y "
+#: ASCII marks, in order.
+MARKS = tuple(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class PieceModel:
     """Encoder and decoder for one BPE model file with byte fallback and identity normalisation."""
 
-    CACHE = 500_000
+    KNOWN = 400_000
     PAIRS = 1_000_000
 
     def __init__(self, path: str):
@@ -41,6 +50,8 @@ class PieceModel:
 
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         n = library.get_piece_size()
+        if library.normalize(ODD) != MARK + ODD.replace(" ", MARK):
+            raise ValueError("the model rewrites texts; it must take them as they are, with a leading space")
         self.piece = [library.id_to_piece(i) for i in range(n)]
         self.eos = library.eos_id()
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if library.is_byte(i)}
@@ -55,17 +66,26 @@ class PieceModel:
         self.is_byte = [False] * n
         for i in self.byte_id.values():
             self.is_byte[i] = True
+        self.printed = {str(i): x for i, x in enumerate(self.surface)}
         # tokens that merging their own text gives back; others never come up
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id_of.items():
             if self.merged(p) == [p]:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.length = [len(p) for p in self.piece]
+        self.pairs: dict[int, bool] = {}
         self.right_edges: dict[int, list] = {}
         self.left_edges: dict[int, list] = {}
-        self.words: dict[str, str] = {}
-        self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.words = Known(lambda w: "".join([f"{i} " for i in self.encode_word(w)]), self.KNOWN)
+        marks = re.escape("".join(MARKS))
+        apart = re.escape(self.apart()) or MARK
+        self.split = re.compile(f"{MARK}*[^{MARK}{marks}]++(?=[{apart}])|{MARK}*[^{MARK}]+|{MARK}+")
+
+    def apart(self) -> str:
+        """The ASCII marks that stand in no piece right behind a character that is no mark: a word may be cut there."""
+        behind = {b for p in self.id_of for a, b in zip(p, p[1:], strict=False) if a != MARK and a not in MARKS}
+        return "".join(c for c in MARKS if c not in behind)
 
     def merged(self, text: str) -> list[str]:
         """Merging by definition: the pair of highest score first, the leftmost of equals."""
@@ -140,7 +160,7 @@ class PieceModel:
         Two edge symbols that exist at the same time merge if their union ranks before the
         merges that end them; of equal ranks the left one goes first.
         """
-        key = (a, b)
+        key = a << 32 | b
         if (found := self.pairs.get(key)) is None:
             if len(self.pairs) > self.PAIRS:
                 self.pairs.clear()
@@ -165,29 +185,26 @@ class PieceModel:
 
     def encode_run(self, text: str) -> list[int]:
         """Ids of a text whose characters all have pieces, by the prefix table."""
-        last: list[int] = [-1] * (len(text) + 1)
-        size = [0] * (len(text) + 1)
+        last = [-1] * (len(text) + 1)
         pairs = self.pairs
         for end, (i, length) in self.automaton.iter(text):
-            end += 1
-            if last[end] >= 0:  # there is only one
-                continue
-            before = end - length
-            if before:
-                prev = last[before]
-                if prev < 0:
-                    continue
-                if (ok := pairs.get((prev, i))) is None:
-                    ok = self.compatible(prev, i)
-                if not ok:
-                    continue
-            last[end], size[end] = i, length
+            if last[end + 1] < 0:  # there is only one
+                before = end + 1 - length
+                if before:
+                    prev = last[before]
+                    if prev < 0:
+                        continue
+                    if (ok := pairs.get(prev << 32 | i)) is None:
+                        ok = self.compatible(prev, i)
+                    if not ok:
+                        continue
+                last[end + 1] = i
         out, end = [], len(text)
         while end:
             if last[end] < 0:
                 raise ValueError(f"no token ends at {end} of {text!r}")
             out.append(last[end])
-            end -= size[end]
+            end -= self.length[last[end]]
         return out[::-1]
 
     def encode_word(self, word: str) -> list[int]:
@@ -203,6 +220,8 @@ class PieceModel:
                 else:
                     ids.extend(self.encode_run(text))
 
+        if MARK * 2 not in word and all(c in self.id_of for c in word):
+            return self.encode_run(word)
         for c in word:
             if c in self.id_of:
                 run.append(c)
@@ -220,25 +239,16 @@ class PieceModel:
         """The same as decimal ids with a space behind each."""
         if not text:
             return ""
-        words = self.split.findall(MARK + text.replace(" ", MARK))
-        cache = self.words
-        try:
-            return "".join(map(cache.__getitem__, words))
-        except KeyError:
-            if len(cache) > self.CACHE:
-                cache.clear()
-            short: dict[str, str] = {}  # very long words don't go to the cache
-            for w in words:
-                if w not in cache and w not in short:
-                    joined = "".join(f"{i} " for i in self.encode_word(w))
-                    (cache if len(w) <= 64 else short)[w] = joined
-            return "".join([cache[w] if w in cache else short[w] for w in words])
+        return "".join(map(self.words.__getitem__, self.split.findall(MARK + text.replace(" ", MARK))))
 
     def decode(self, ids: list[int]) -> str:
+        return self.decode_printed([str(i) for i in ids])
+
+    def decode_printed(self, ids: list[str]) -> str:
         """As the library does: pieces joined, the space of the first piece dropped, bytes as UTF-8."""
-        raw = b"".join(map(self.surface.__getitem__, ids))
-        first = next((i for i in ids if self.surface[i]), None)
-        if first is not None and not self.is_byte[first] and raw[:1] == b" ":
+        raw = b"".join(map(self.printed.__getitem__, ids))
+        first = next((i for i in ids if self.printed[i]), None)
+        if first is not None and not self.is_byte[int(first)] and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", errors="replace")
 
@@ -279,10 +289,10 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
             n, ids_sha, text_sha = [], [], []
             for t in texts:
                 joined = m.encode_joined(t) + end
-                ids = list(map(int, joined.split()))
+                ids = joined.split(" ")
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(m.decode_printed(ids).encode()).hexdigest())
             return doc_ids, n, ids_sha, text_sha
 
         return f
