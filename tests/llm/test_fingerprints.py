@@ -22,23 +22,62 @@ def test_texts_and_likeness(spark):
     rows = {r["doc_id"]: r for r in ibloom.fingerprints(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
     assert len(rows) == len(docs)
 
-    def pieces(text):
-        frame = spark.createDataFrame([(text,)], "t string").select(ibloom.digests(F.col("t")).alias("d"))
-        return set(frame.first()["d"])
-
-    for k, (i, text) in enumerate(order):
-        following = order[(k + 1) % len(order)][1]
-        m = len(text) // 4
-        edited = text[: len(text) - m] + following[:m]
+    following = {i: order[(k + 1) % len(order)][1] for k, (i, _) in enumerate(order)}
+    edited = {i: t[: len(t) - len(t) // 4] + following[i][: len(t) // 4] for i, t in order}
+    every = sorted({*following.values(), *edited.values(), *(t for _, t in order)})
+    sets = {r["t"]: set(r["d"]) for r in spark.createDataFrame([(t,) for t in every], "t string").select("t", ibloom.digests(F.col("t")).alias("d")).collect()}
+    exact = lambda x, y: round(1 - len(x ^ y) / (len(x) + len(y)), 9) if x or y else 1.0
+    for i, text in order:
         r = rows[i]
         assert r["n_chars"] == len(text)
-        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        if k % 9 == 0:
-            a, b, c = pieces(text), pieces(edited), pieces(following)
-            exact = lambda x, y: 1 - len(x ^ y) / (len(x) + len(y)) if x or y else 1.0
-            assert abs(r["near_edited"] - exact(a, b)) < 0.2 and abs(r["near_next"] - exact(a, c)) < 0.2
+        assert r["edited_sha256"] == hashlib.sha256(edited[i].encode()).hexdigest()
+        a, b, c = sets[text], sets[edited[i]], sets[following[i]]
+        assert (r["near_edited"], r["near_next"]) == (exact(a, b), exact(a, c))
+        assert {(d["count"], d["key"]) for d in r["differs_edited"]} == {(1, x) for x in a - b} | {(-1, x) for x in b - a}
     assert rows[6002]["fingerprint"] == rows[6003]["fingerprint"] and rows[6002]["near_next"] == 1.0
+    # the edited texts' own fingerprints, as documents
+    again = {r["doc_id"]: r["fingerprint"] for r in ibloom.fingerprints(spark.createDataFrame(list(edited.items()), "doc_id long, text string")).collect()}
+    assert again == {i: r["edited_fingerprint"] for i, r in rows.items()}
+
+
+def test_the_whole_table_against_set_differences(spark):
+    """Likeness of every document of the 0.01 table, exactly."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    order = sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
+    cases = []
+    for k, (i, t) in enumerate(order):
+        after, cut = order[(k + 1) % len(order)][1], len(t) // 4
+        cases.append((i, t, t[: len(t) - cut] + after[:cut], after))
+    sets = spark.createDataFrame(cases, "i long, a string, b string, c string").select("i", *[ibloom.digests(F.col(x)).alias(x) for x in "abc"]).collect()
+    exact = lambda x, y: round(1 - len(x ^ y) / (len(x) + len(y)), 9) if x or y else 1.0
+    wanted = {r["i"]: (exact(set(r["a"]), set(r["b"])), exact(set(r["a"]), set(r["c"]))) for r in sets}
+    assert {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in ibloom.fingerprints(docs).collect()} == wanted
+
+
+def test_near_copies_of_any_length_are_alike(spark):
+    """A text and the same without its last word: the rule for pieces doesn't change with the length."""
+    rng = random.Random(3)
+    words = [rng.choice("abcdefghij") + str(rng.randrange(10**6)) + rng.choice("ayxbc") for _ in range(400)]
+    frame = spark.createDataFrame([(n, " ".join(words[:n]), " ".join(words[: n - 1])) for n in range(20, 400, 7)], "n int, a string, b string")
+    for r in frame.select("n", *[ibloom.digests(F.col(x)).alias(x) for x in "ab"]).collect():
+        a, b = set(r["a"]), set(r["b"])
+        assert 1 - len(a ^ b) / (len(a) + len(b)) > 0.75, r["n"]
+
+
+def test_next_across_far_ranges(spark):
+    """Ids that lie far apart, negative ones, repeated ones and none."""
+    rng = random.Random(9)
+    ids = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(60)] + [-1, 0, 1, 63, 64, 65, 1 << 18, (1 << 30) + 5, 7, 7]
+    docs = [(i, f"text {k} a") for k, i in enumerate(ids)] + [(None, "none x"), (None, "none y")]
+    got = [r["edited_sha256"] for r in ibloom.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id IS NOT NULL").orderBy("doc_id", "edited_sha256").collect()]
+    order = sorted(d for d in docs if d[0] is not None)
+    shas = []
+    for k, (i, t) in enumerate(order):
+        nexts = [order[k + 1][1]] if k + 1 < len(order) else ["none x", "none y"]
+        shas.append({(i, hashlib.sha256((t[: len(t) - len(t) // 4] + x[: len(t) // 4]).encode()).hexdigest()) for x in nexts})
+    assert len(got) == len(shas)
+    flat = sorted(min(s) for s in shas[:-1])
+    assert all(any(sha == h for _, h in flat) or any(sha == h for _, h in shas[-1]) for sha in got)
 
 
 def test_peeling_recovers_what_differs(spark):
