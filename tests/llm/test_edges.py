@@ -69,6 +69,6 @@ def test_pages(spark):
 def test_rollup_of_odd_rows(spark, tmp_path):
     rollup = token_rollup.Rollup(spark, f"file://{tmp_path}/r")
     assert rollup.totals().count() == 0
-    rollup.commit("a", spark.createDataFrame(ROWS, SCHEMA))
-    rollup.commit("none", spark.createDataFrame([], SCHEMA))
+    rollup.insert("a", spark.createDataFrame(ROWS, SCHEMA))
+    rollup.insert("none", spark.createDataFrame([], SCHEMA))
     assert {r["n_docs"] for r in rollup.totals().collect()} == {len(ROWS)}

@@ -14,28 +14,33 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def revised_rollup(spark: SparkSession, sf_dir: str, bpe_path: str | None) -> DataFrame:
     """Totals after three batches, each sent twice: all documents come, tables lose their bars, toxic documents go."""
     docs = documents(spark, sf_dir)
-    without_bars = F.replace(text_of(), F.lit("|"), F.lit(""))
-    revised = docs.withColumn("text", without_bars)
+    without_bars = docs.where(text_of().contains("|")).withColumn("text", F.replace(text_of(), F.lit("|"), F.lit("")))
     toxic = documents(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    has_bars = text_of().contains("|")
-    batches = {
-        "1-insert": (docs.withColumn("sign", F.lit(1)), None),
-        "2-revise": (token_rollup.revisions(docs.where(has_bars), docs.where(has_bars).withColumn("text", without_bars)), None),
-        "3-delete": (revised.withColumn("sign", F.lit(-1)), toxic),
-    }
-    rollup = token_rollup.Rollup(spark, shared_dir(spark, "token-rollup"))
-    for batch_id, (changes, only) in [*batches.items(), *batches.items()]:
-        rollup.commit(batch_id, changes, only)
+    rollup = token_rollup.Rollup(spark, shared_dir(spark, "token-rollup"), bpe_path)
+    for _ in range(2):
+        rollup.insert("1-insert", docs)
+        rollup.revise("2-revise", without_bars)
+        rollup.delete("3-delete", toxic)
     return rollup.totals()
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a byte-level vocabulary beside the two rule tokenizers."""
+    return revised_rollup(spark, sf_dir, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def rule_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches with the rule tokenizers alone, whose counts SQL can express."""
+    return revised_rollup(spark, sf_dir, None)
+
+
 OP2_COUNTS = [f"SELECT source, lang, '{name}' AS tokenizer, len(regexp_extract_all(text, '{pattern}')) AS tokens, length(text) AS chars FROM kept" for name, pattern in token_rollup.PATTERNS.items()]
 OP2_SQL = f"""
 WITH kept AS (
-    SELECT source, lang, replace(coalesce(text, ''), '|', '') AS text FROM documents
+    SELECT source, lang, CASE WHEN doc_id IS NULL THEN coalesce(text, '') ELSE replace(coalesce(text, ''), '|', '') END AS text FROM documents
     WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
 ), counted AS (
     {" UNION ALL ".join(OP2_COUNTS)}
@@ -82,6 +87,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
+    "rule_token_counts": rule_token_counts,
     "op3_secret_scans": op3_secret_scans,
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
@@ -91,4 +97,4 @@ QUERIES: dict = {
     "op9_html_extraction": op9_html_extraction,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {"op2_token_counts": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"rule_token_counts": OP2_SQL}
