@@ -1,3 +1,4 @@
+import math
 import itertools
 import zlib
 
@@ -88,3 +89,30 @@ def test_held_out_accuracy(spark):
     known = [(got[i], y) for i, y in labels.items() if i in got]
     assert sum(p == y for p, y in known) / len(known) > 0.9
     assert sum(p for p, y in known if not y) <= 0.03 * len(known)
+
+
+def test_a_quotation_is_told_by_its_marks_not_by_its_place():
+    """Words in front of a text change nothing; a mark that never closes ends after a while."""
+    automaton = toxicity.Lexicon({"badword": 2.0}).automaton()
+    for front in (0, 1, 150, 199, 200, 333):
+        lead = "x " * front
+        quoted = toxicity.hits(lead + '"they shouted badword there" ' + "y " * 20 + "badword", automaton)
+        assert [h[3] for h in quoted] == [True, False], front
+        open_mark = toxicity.hits(lead + '"they ' + "y " * 100 + "badword " + "y " * 150 + "badword", automaton)
+        assert [h[3] for h in open_mark] == [True, False], front
+
+
+def test_frequent_and_short_terms_are_learned():
+    """A term of most toxic texts counts by all of its contexts, and two letters are enough."""
+    rng = __import__("random").Random(2)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    rows = [(" ".join([*rng.choices(words, k=8), "zq", *rng.choices(words, k=8)]), 1) for _ in range(300)]
+    rows += [(" ".join(rng.choices(words, k=17)), 0) for _ in range(900)]
+    terms = toxicity.learn_lexicon(rows).terms
+    assert terms["zq"] > math.log(0.9 / (0.5 / 901)) - 0.2
+
+
+def test_one_text_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(4, f"text {k}") for k in range(30)] + [(5, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(4, 1), (5, 0), (4, 1)], "doc_id long, toxic int")
+    assert len(toxicity.sample(docs, labels)) <= 2

@@ -10,10 +10,12 @@ Each hit is weighed by its window: quotation marks around it or words of reporti
 it make it a quotation; pronouns of address make it abuse. A logistic regression over the
 summed weights of exact, misspelled and quoted hits gives the score.
 
-The fit uses a bounded sample, ``TRAIN_ROWS`` labelled rows, the first by a hash of their
-id. Scores depend on the text alone. Null texts count as empty, and get the score of a
-text without hits. Rows that repeat get equal scores; an empty table gives no rows. With
-no labelled rows of both classes the lexicon is empty and all scores are the base rate.
+The fit uses a bounded sample, ``TRAIN_ROWS`` labelled ids, the first by a hash, with one
+text each. Scores depend on the text alone. Null texts count as empty, and get the score
+of a text without hits. Very long texts are scored whole. Rows that repeat get equal
+scores; an empty table gives no rows. Extra columns are ignored, and kept by
+``keep_clean``. With no labelled rows of both classes the lexicon is empty and all scores
+are the base rate.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ from .common import bounded_batches, map_batches, text_of
 TRAIN_ROWS = 4000
 #: Occurrences in different contexts, and toxic documents, that a term needs.
 MIN_CONTEXTS, MIN_DOCS = 3, 3
-#: Contexts of a term that are told apart, at most; what more there are changes nothing.
-MOST_CONTEXTS = 64
 #: A term must be so many times as frequent in toxic texts, with a likelihood ratio above what the best of as many random terms would have.
 LEAST_RATIO, SURPLUS = 5, 4
 PREFIX_LENGTHS = (4, 5, 6, 7, 8)
+#: Letters of the shortest terms; a quotation that isn't closed ends after so many tokens.
+LEAST_LETTERS, QUOTE_TOKENS = 2, 200
 #: Misspellings are looked for in terms of at least so many letters.
 FUZZY_LETTERS = 5
 THRESHOLD = 0.3
@@ -162,8 +164,10 @@ def hits(text: str, automaton: Automaton) -> list[tuple[int, int, float, bool]]:
     found = {t: h for t in set(tokens) if (h := match(t)) is not None}
     if not found:
         return []
-    out, open_quote = [], False
+    out, open_quote, opened = [], False, 0
     for k, t in enumerate(tokens):
+        if open_quote and k - opened > QUOTE_TOKENS:  # a mark that never closes doesn't turn the rest of a text into a quotation
+            open_quote = False
         marks = sum(t.count(q) for q in QUOTES)
         if t in found:
             near = [clean(x) for x in tokens[max(0, k - WINDOW) : k + WINDOW + 1]]
@@ -171,9 +175,7 @@ def hits(text: str, automaton: Automaton) -> list[tuple[int, int, float, bool]]:
             address = 1.25 if any(x in ADDRESS for x in near) else 1.0
             out.append((*found[t], address, quoted))
         if marks % 2:
-            open_quote = not open_quote
-        if k % 200 == 199:  # a mark that never closes doesn't turn the rest of a text into a quotation
-            open_quote = False
+            open_quote, opened = not open_quote, k
     return out
 
 
@@ -235,11 +237,11 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> Lexicon:
         tokens = [clean(t) for t in text.lower().split()]
         seen = set()
         for before, t, after in zip(["", *tokens], tokens, [*tokens[1:], ""], strict=False):
-            if len(t) >= PREFIX_LENGTHS[0] and t.isalpha():
+            if len(t) >= LEAST_LETTERS and t.isalpha():
+                context = hash((before, after))
                 for b in beginnings(t):
                     seen.add(b)
-                    if len(around[b]) < MOST_CONTEXTS:
-                        around[b].add((before, after))
+                    around[b].add(context)
         in_toxic.update(seen)
     # copies of a text repeat contexts, so a term counts as often as its contexts differ
     in_toxic = Counter({b: min(n, len(around[b])) for b, n in in_toxic.items() if n >= MIN_DOCS and len(around[b]) >= MIN_CONTEXTS})
@@ -303,6 +305,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = ids.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     chosen = ids.orderBy(F.xxhash64("__id"), "__id").limit(size)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "__id")  # at most ``size`` rows
+    rows = rows.groupBy("__id", "__y").agg(F.min("text").alias("text"))  # one text for an id that rows repeat
     got = sorted((r["__id"], r["text"], r["__y"]) for r in rows.collect())
     return [(unicodedata.normalize("NFC", t), y) for _, t, y in got]
 
