@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches, in DataFrame operations alone.
 
-A text's paragraphs (lines) are cut into pieces: a piece ends with a word whose last
-character is one of ``ENDS``, or with its ``PIECE_WORDS``-th word, so that after an edit
-the cuts fall as before. Each piece is hashed to a digest. Pieces of at most
+A text's paragraphs (lines) are cut into pieces: from its ``LEAST_WORDS``-th word on, a
+piece ends with a word whose last character is one of ``ENDS``, or with its
+``PIECE_WORDS``-th word, so that some way behind an edit the cuts fall as before. Each piece is hashed to a digest. Pieces of at most
 ``FINE_WORDS`` words are digests too if their hash lies under ``FINE`` / their number: in
 a short text all of them, in a long one some ``FINE``. That share changes little between
 texts of similar length, so the same rule holds for both sides of a comparison.
@@ -42,12 +42,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 
-#: Words of a piece, and of a fine one, at most; how many fine ones a long text has, about.
-PIECE_WORDS, FINE_WORDS, FINE = 24, 3, 24
+#: Words of a piece, at least and at most, and of a fine one at most; how many fine ones a long text has, about.
+LEAST_WORDS, PIECE_WORDS, FINE_WORDS, FINE = 8, 24, 3, 16
 #: Last characters of a word that end a piece.
-ENDS = "ay.!?;:"
+ENDS = ".!?"
 #: Cells of a sub-table of a shard.
 CELLS = 8
 #: Characters for each shard of a fingerprint; digests of a document and another for each shard of the larger sketches.
@@ -62,13 +62,13 @@ ROUNDS = 6
 RANGE_BITS, LEVEL_BITS, LEVELS = 6, 12, 3
 
 
-def pieces(text: Column, words: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?:\S*[^\s{ENDS}][^\S\n]+){{0,{words - 1}}}\S+"), F.lit(0))
+def pieces(text: Column, words: int, least: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?:\S+[^\S\n]+){{0,{least - 1}}}(?:\S*[^\s{ENDS}][^\S\n]+){{0,{words - least}}}\S+"), F.lit(0))
 
 
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's pieces."""
-    hashed = F.transform(pieces(text, PIECE_WORDS), lambda p: F.xxhash64(p))
+    hashed = F.transform(pieces(text, PIECE_WORDS, LEAST_WORDS), lambda p: F.xxhash64(p))
     rank = lambda p: F.pmod(F.xxhash64(p, F.lit(5)), F.lit(1 << 20))
     fine = bound(pieces(text, FINE_WORDS), lambda all_: F.filter(all_, lambda p: rank(p) * F.size(all_) < FINE << 20))
     return F.array_distinct(F.concat(hashed, F.transform(fine, lambda p: F.xxhash64(p, F.lit(7)))))
@@ -204,9 +204,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     by_id = Window.partitionBy(*key).orderBy("place", "text")
     dealt = read.repartition(*key)
     rows = dealt.withColumns({"row": F.row_number().over(by_id), "next_text": F.lead("text").over(by_id)})
-    heads = dealt.groupBy(*key).agg(F.min(F.struct("place", "text")).alias("head"))
+    heads = dealt.groupBy(*key).agg(F.min(F.struct("place", "text", "doc_id")).alias("head"))  # all columns, so that one exchange serves both
     heads = heads.select(F.col("last").alias("following_last"), F.col("range").alias("following"), F.col("head.text").alias("head_text"))
-    heads = heads.join(following(read.select(*key).distinct()), ["following_last", "following"]).select(F.col("last").alias("b_last"), F.col("range").alias("before"), "head_text")
+    heads = heads.join(following(stored(read.select(*key).distinct(), "fingerprint-ranges")), ["following_last", "following"]).select(F.col("last").alias("b_last"), F.col("range").alias("before"), "head_text")
     joined = rows.join(heads, (F.col("last") == F.col("b_last")) & (F.col("range") == F.col("before")) & F.col("next_text").isNull(), "left")
     return joined.select(*key, "doc_id", "row", "text", F.coalesce("next_text", "head_text").alias("next_text"))
 
