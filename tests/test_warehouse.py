@@ -224,3 +224,130 @@ def test_change_source(spark, tmp_path):
     assert [p for _, p in rows] == ["a.txt", "dir/b.txt"]
     assert [p for _, p in reader.readBetweenOffsets(start, end)] == ["a.txt", "dir/b.txt"]
     assert list(reader.read(end)[0]) == []
+
+
+def test_audit_log_takes_any_characters(store):
+    """Control characters, quotes and other scripts: one canonical form in writer and verifier."""
+    store.snap("bad \x1b message")
+    for part in ("".join(map(chr, range(0x20))), 'a "quoted" \\u001b \\ text', "é 北京 \u2028 \x7f 😀"):
+        store.record("note", part)
+    out = store.verify()
+    assert out["valid"] and out["entries"] == 5
+    assert [r["detail"] for r in store.audit().orderBy("line_no").collect()][2] == "".join(map(chr, range(0x20)))
+
+
+def test_orders_and_certificates_are_bound_to_their_warehouse(spark, store, tmp_path):
+    signing.generate(spark, str(tmp_path / "key"))
+    key = signing.load(str(tmp_path / "key"))
+    first = store.snap("one")
+    other = wh.Warehouse.init(spark, str(tree(tmp_path / "other")))
+    open(f"{other.root}/mine.txt", "w").write("mine")
+    other.snap("own work")
+    other.trust(key[1])
+    before = contents(other.root)
+    with pytest.raises(wh.Corrupt):
+        other.apply_order(store.order(first, key), source=store, force=True)
+    assert contents(other.root) == before
+    out = store.purge("a.txt", key)
+    (tmp_path / "other/.tidemark/tombstones.jsonl").write_text(open(f"{store.path}/tombstones.jsonl").read())
+    assert store.verify_certificate(out["certificate"])["path"] == "a.txt"
+    with pytest.raises(wh.Corrupt):
+        other.verify_certificate(out["certificate"])
+
+
+def test_forged_manifests_are_not_pulled(spark, store, tmp_path):
+    """A peer that adds an entry under an id that doesn't hash it, or changes a header."""
+    first = store.snap("one")
+    peer = wh.Warehouse.init(spark, str(tmp_path / "peer"))
+    extra = store.entries(first).limit(1).withColumn("path", wh.F.lit("planted.sh"))
+    store._append(extra, "entries", "snapshot_id")
+    with pytest.raises(wh.Corrupt):
+        peer.pull(store)
+    assert peer.entries().isEmpty() and peer.snapshots().isEmpty()
+
+
+def test_limits_hold_for_each_manifest_of_a_pull(spark, store, tmp_path, monkeypatch):
+    for k in range(3):
+        open(f"{store.root}/a.txt", "w").write(f"version {k}")
+        store.snap(f"s{k}")
+    monkeypatch.setattr(wh, "MOST_FILES", 4)
+    peer = wh.Warehouse.init(spark, str(tmp_path / "peer"))
+    assert peer.pull(store)["manifests_fetched"] == 3
+    monkeypatch.setattr(wh, "MOST_FILES", 2)
+    with pytest.raises(wh.Corrupt):
+        wh.Warehouse.init(spark, str(tmp_path / "strict")).pull(store)
+
+
+@pytest.mark.parametrize("swapped", [0, 1])
+def test_a_purge_that_dies_is_ended_by_the_next_writer(spark, store, tmp_path, monkeypatch, swapped):
+    """Before the first folder is swapped, and after it."""
+    signing.generate(spark, str(tmp_path / "key"))
+    for k in range(6):
+        open(f"{store.root}/secret{k}.txt", "w").write(f"only here {k}")
+    first = store.snap("one")
+    doomed = store.entries(first).where("path = 'secret0.txt'").select(wh.F.explode("chunks").alias("hash"))
+    kept = {r["hash"] for r in store.chunks().collect()} - {doomed.first()[0]}
+    doomed = spark.createDataFrame(doomed.collect(), "hash string")
+    real = wh.Warehouse._end_sweep
+    with monkeypatch.context() as m:
+        m.setattr(wh.Warehouse, "_end_sweep", lambda self: None)
+        store._sweep(doomed)
+    journal = __import__("json").loads(open(f"{store.path}/sweep").read())
+    if swapped:
+        for p in journal["full"][:1]:
+            import shutil
+
+            shutil.rmtree(f"{store.path}/chunks/prefix={p}")
+            os.rename(f"{store.path}/{journal['staging']}/prefix={p}", f"{store.path}/chunks/prefix={p}")
+    assert wh.Warehouse._end_sweep is real
+    with store.lock():
+        pass
+    rows = [r["hash"] for r in store.chunks().collect()]
+    assert sorted(rows) == sorted(kept) and not os.path.exists(f"{store.path}/sweep")
+
+
+def test_tables_on_another_file_system(spark, tmp_path):
+    """The tables' folder is a URI; the worktree holds pointers only."""
+    w = wh.Warehouse.init(spark, str(tree(tmp_path / "w")), f"file://{tmp_path}/far/tables")
+    first = w.snap("one")
+    assert (tmp_path / "far/tables/chunks").is_dir() and not os.listdir(f"{w.path}/chunks")
+    open(f"{w.root}/a.txt", "w").write("changed")
+    w.revert(first, force=True)
+    assert contents(w.root)["a.txt"] == b"hello"
+    hash_ = w.entries(first).where("path = 'a.txt'").first()["chunks"][0]
+    assert w.object(hash_) == b"hello"
+    with pytest.raises(wh.MissingObject):
+        w.object("00" * 32)
+
+
+def test_files_that_change_while_they_are_read(spark, store, monkeypatch):
+    """What one look saw is stored and the path is marked."""
+    real = wh.Warehouse.pieces
+
+    def late(self, wanted):
+        open(f"{self.root}/a.txt", "w").write("changed between the looks")
+        return real(self, wanted)
+
+    monkeypatch.setattr(wh.Warehouse, "pieces", late)
+    snapshot_id = store.snap("one")
+    row = store.snapshots().where(wh.F.col("snapshot_id") == snapshot_id).first()
+    assert row["unstable"] == ["a.txt"]
+    monkeypatch.undo()
+    store.revert(snapshot_id, force=True)
+    assert contents(store.root)["a.txt"] == b"changed between the looks"
+
+
+def test_guard_keeps_the_commands_own_dashes(spark, tmp_path, monkeypatch, capsys):
+    from tidemark import __main__ as cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    monkeypatch.chdir(tree(tmp_path / "c"))
+    assert cli.main(["init"]) == 0
+    assert cli.main(["guard", "--", sys.executable, "-c", "import sys; raise SystemExit(len(sys.argv))", "--", "f"]) == 3
+    capsys.readouterr()
+    assert cli.main(["log"]) == 0 and "3 files" in capsys.readouterr().out
+    key = str(tmp_path / "k")
+    assert cli.main(["--key", key, "anchor", "keygen"]) == 0
+    assert cli.main(["--key", key, "anchor", "next", str(tmp_path / "anchors")]) == 0 and len(os.listdir(tmp_path / "anchors")) == 1
+    assert cli.main(["--key", key, "anchor", "schedule", str(tmp_path / "anchors"), "--print"]) == 0
+    assert "<integer>300</integer>" in capsys.readouterr().out

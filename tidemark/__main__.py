@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from tidemark.functions import signing
 from tidemark.operators import history, undo
 from tidemark.sources.warehouse import Warehouse, WarehouseError, find_root
+from tidemark.streaming import periodic
 
 MARKS = {"added": "+", "modified": "~", "deleted": "-", "touched": "."}
 KEY = "TIDEMARK_KEY"
@@ -34,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     flag = {"action": "store_true"}
-    add("init", (["dir"], {"nargs": "?", "default": "."}))
+    add("init", (["dir"], {"nargs": "?", "default": "."}), (["--tables"], {"help": "URI of a folder for the tables"}))
     add("snap", (["-m", "--message"], {"default": ""}), (["--actor"], {"default": os.environ.get("TIDEMARK_ACTOR")}))
     add("log", (["-n"], {"type": int, "default": 20}))
     add("show", (["id"], {"nargs": "?", "default": "head"}))
@@ -47,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
     add("guard", (["--revert"], {"choices": ["never", "on-fail", "always"], "default": "never"}), (["--full"], flag), (["cmd"], {"nargs": argparse.REMAINDER}))
     add("purge", (["path"], {"nargs": "?"}), (["--out"], {}), (["--verify"], {}), (["--pubkey"], {}))
     add("fleet", (["action"], {"choices": ["trust", "order", "apply"]}), (["value"], {}), (["--out"], {}), (["--from"], {"dest": "source"}), (["--force"], flag))
-    add("anchor", (["action"], {"choices": ["keygen", "pubkey", "create", "verify"]}), (["value"], {"nargs": "?"}), (["--pubkey"], {}), (["--prev"], {}))
+    add("anchor", (["action"], {"choices": ["keygen", "pubkey", "create", "next", "schedule", "verify"]}), (["value"], {"nargs": "?"}), (["--every"], {"type": int, "default": periodic.DEFAULT_INTERVAL}), (["--print"], {"action": "store_true", "dest": "show", "help": "the text for an external scheduler instead"}), (["--pubkey"], {}), (["--prev"], {}))
     return p
 
 
@@ -71,7 +72,7 @@ def write_out(text: str, path: str | None) -> None:
 def run(args: argparse.Namespace) -> int:
     spark = session()
     if args.command == "init":
-        Warehouse.init(spark, args.dir)
+        Warehouse.init(spark, args.dir, args.tables)
         return 0
     if args.command == "anchor" and args.action in ("keygen", "pubkey"):
         print(signing.generate(spark, args.key) if args.action == "keygen" else signing.load(args.key)[1])
@@ -85,7 +86,7 @@ def run(args: argparse.Namespace) -> int:
 
         head = w.head()
         for r in w.log(args.n).withColumn("shown", shown_time(history.F.col("timestamp_secs"))).collect():
-            print(r["snapshot_id"][:12], r["shown"], r["message"], "(HEAD)" if r["snapshot_id"] == head else "")
+            print(r["snapshot_id"][:12], r["shown"], f"{r['files']} files", r["message"], "(HEAD)" if r["snapshot_id"] == head else "")
     elif args.command == "show":
         for r in w.show(args.id).toLocalIterator():
             print(f"{r['size']:>12} {r['path']}")
@@ -109,7 +110,7 @@ def run(args: argparse.Namespace) -> int:
     elif args.command == "pull":
         print(", ".join(f"{k} {v}" for k, v in w.pull(Warehouse(spark, args.peer)).items()))
     elif args.command == "guard":
-        report = w.guard([c for c in args.cmd if c != "--"], args.revert, args.full)
+        report = w.guard(args.cmd[1:] if args.cmd[:1] == ["--"] else args.cmd, args.revert, args.full)
         for path, status in report.drift:
             print(MARKS[status], path)
         return report.process_exit_code()
@@ -128,8 +129,13 @@ def run(args: argparse.Namespace) -> int:
             with open(args.value) as file:
                 w.apply_order(file.read(), Warehouse(spark, args.source) if args.source else None, args.force)
     elif args.command == "anchor":
-        if args.action == "create":
+        if args.action in ("create", "next"):
             print(w.anchor(args.value, key()))
+        elif args.action == "schedule" and args.show:
+            command = [sys.executable, "-m", "tidemark", "--key", os.path.abspath(args.key), "anchor", "next", os.path.abspath(args.value)]
+            print(periodic.agent_text(f"tidemark.anchor.{w.warehouse_id()[:12]}", command, args.every), end="")
+        elif args.action == "schedule":
+            periodic.anchor_every(w, args.value, key(), args.every)
         else:
             print(w.verify_anchor(args.value, args.pubkey, args.prev)["audit_len"])
     return 0

@@ -58,6 +58,16 @@ def xml_escaped(text: Column) -> Column:
     return text
 
 
+def script_escaped(text: Column) -> Column:
+    """For a literal in double quotes where only the backslash and the quote are special."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def enumerated(values: Column) -> Column:
+    """An array of strings as it is shown: separated by a comma and a space."""
+    return F.array_join(values, ", ")
+
+
 def shell_quoted(text: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'"))
 

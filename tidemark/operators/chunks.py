@@ -34,6 +34,20 @@ def verified(claimed: DataFrame, data: Column, claim: Column) -> DataFrame:
     return claimed.withColumn("ok", F.sha2(data, 256) == claim)
 
 
+#: Bytes of an object, at most.
+LONGEST = 16 << 20
+
+
+def point_read(objects: DataFrame, hash_: str, longest: int = LONGEST) -> bytes | None:
+    """The data of one object, null if it isn't there; ValueError if it is too long or doesn't have its hash. Its length is known before it is read."""
+    row = objects.where(F.col("hash") == hash_.lower()).select(F.when(F.octet_length("data") <= longest, F.col("data")).alias("data"), (F.sha2("data", 256) == F.col("hash")).alias("ok")).first()
+    if row is None:
+        return None
+    if row["data"] is None or not row["ok"]:
+        raise ValueError(f"object {hash_[:12]} is too long or damaged")
+    return bytes(row["data"])
+
+
 def object_counts(objects: DataFrame, data: Column) -> DataFrame:
     """One row: objects whose data have their name's hash, and others."""
     ok = F.sha2(data, 256) == F.col("hash")
@@ -104,6 +118,26 @@ def cut_points(data: bytes, least: int = LEAST, average: int = AVERAGE, most: in
     return ends
 
 
+def cut_stream(read, block: int = 8 << 20) -> Iterator[bytes]:
+    """Content-defined chunks of what ``read(n)`` gives, with a block and a chunk held at a time.
+
+    Where a chunk ends depends on its own bytes only, ``MOST`` of them at most, so all ends
+    are as if the whole were cut at once.
+    """
+    held = b""
+    while True:
+        new = read(block)
+        held, start = held + new, 0
+        for end in cut_points(held):
+            if new and start + MOST > len(held):
+                break
+            yield held[start:end]
+            start = end
+        if not new:
+            return
+        held = held[start:]
+
+
 def content_defined(files: DataFrame, key: str = "doc_id", data_col: str = "text", least: int = LEAST, average: int = AVERAGE, most: int = MOST) -> DataFrame:
     """(key, pos, start, length, hash) of content-defined chunks, in Arrow batches of Python workers."""
     kind = files.schema[key].dataType.simpleString()

@@ -24,9 +24,9 @@ def last_wins(entries: DataFrame, *keys: str) -> DataFrame:
 
 def diff(new: DataFrame, old: DataFrame) -> DataFrame:
     """(path, status): added, modified or deleted by content; paths without a change are left out."""
-    a = new.select("path", F.col("content").alias("a"))
-    b = old.select("path", F.col("content").alias("b"))
-    status = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "deleted").when(F.col("a") != F.col("b"), "modified")
+    a = new.select("path", F.col("content").alias("a"), F.lit(True).alias("in_a"))
+    b = old.select("path", F.col("content").alias("b"), F.lit(True).alias("in_b"))
+    status = F.when(F.col("in_b").isNull(), "added").when(F.col("in_a").isNull(), "deleted").when(~F.col("a").eqNullSafe(F.col("b")), "modified")
     return a.join(b, "path", "full_outer").select("path", status.alias("status")).where(F.col("status").isNotNull())
 
 
@@ -48,7 +48,7 @@ def drift(live: DataFrame, manifest: DataFrame, full: bool = False) -> DataFrame
     for c in STAMP:
         same_stamp = same_stamp & (F.col(c) == F.col(f"m_{c}"))
     x = x.where(~F.coalesce(matched & same_stamp, F.lit(False))) if not full else x
-    content = F.col("content") == F.col("m_content")
+    content = F.col("content").eqNullSafe(F.col("m_content"))  # a file that can't be read counts as modified
     status = F.when(F.col("in_manifest").isNull(), "added").when(F.col("in_live").isNull(), "deleted").when(~content, "modified").when(~same_stamp, "touched")
     return x.select("path", status.alias("status")).where(F.col("status").isNotNull())
 
@@ -92,11 +92,13 @@ def empty_directories(before: DataFrame, after: DataFrame) -> DataFrame:
     return directories(before).join(directories(after), "dir", "left_anti")
 
 
-def violations(entries: DataFrame, safe: Column, longest_chunks: int = 8_000_000) -> DataFrame:
-    """(constraint, path) of manifest entries that break a constraint."""
+def violations(entries: DataFrame, safe: Column, longest_chunks: int = 8_000_000, most_files: int | None = None, key: str | None = None) -> DataFrame:
+    """(constraint, path) of manifest entries that break a constraint. Limits hold for each manifest, which key tells apart."""
     checks = {"unsafe_path": ~safe, "no_chunks": (F.col("size") > 0) & (F.size("chunks") == 0), "negative_size": F.col("size") < 0}
     found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
     each = entries.select("path", F.explode(found).alias("constraint")).select("constraint", "path")
-    total = entries.agg(F.sum(F.size("chunks")).alias("n")).where(F.col("n") > longest_chunks)
-    return each.unionByName(total.select(F.lit("too_many_chunks").alias("constraint"), F.lit(None).cast("string").alias("path")))
+    totals = entries.groupBy(*([key] if key else [])).agg(F.sum(F.size("chunks")).alias("n"), F.count("*").alias("files"))
+    limits = {"too_many_chunks": F.col("n") > longest_chunks} | ({"too_many_files": F.col("files") > most_files} if most_files else {})
+    over = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in limits.items()]))
+    return each.unionByName(totals.select(F.explode(over).alias("constraint"), F.lit(None).cast("string").alias("path")))
 

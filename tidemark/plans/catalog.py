@@ -16,6 +16,9 @@ from tidemark.functions.hashing import audit_body, fan_out, json_string, purge_i
 from tidemark.operators import chains, chunks, diff, history, purge, replication, undo, watching
 from tidemark.plans import fixtures as fx
 from tidemark.sources import manifests
+from tidemark.sources.shared import shared_dir
+from tidemark.streaming.watch import OUTPUT as WATCHED
+from tidemark.streaming.watch import debounced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -156,6 +159,17 @@ def q_validate_violations(spark, sf):
     return diff.violations(entries, scalars.safe_path(F.col("path")))
 
 
+@query("""WITH e AS (SELECT source, count(*) AS files, sum(ceil(length(text) / 500.0)) AS n FROM documents WHERE text <> '' GROUP BY source), m AS (SELECT avg(n) AS n, avg(files) AS files FROM e)
+SELECT 'too_many_chunks' AS "constraint", NULL::VARCHAR AS path FROM e, m WHERE e.n > floor(m.n) UNION ALL SELECT 'too_many_files', NULL FROM e, m WHERE e.files > floor(m.files)""")
+def q_validate_limits(spark, sf):
+    """Limits that some manifests reach: the mean over the sources, each a manifest."""
+    d = fx.table(spark, sf, "documents").where("text <> ''")
+    pieces = F.sequence(F.lit(1), F.ceil(F.length("text") / 500).cast("int"))
+    entries = d.select("source", F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("size"), F.transform(pieces, lambda k: k.cast("string")).alias("chunks"))
+    mean = entries.groupBy("source").agg(F.sum(F.size("chunks")).alias("n"), F.count("*").alias("files")).agg(F.floor(F.avg("n")), F.floor(F.avg("files"))).first()
+    return diff.violations(entries, F.lit(True), mean[0], mean[1], key="source")
+
+
 @query("SELECT doc_id, ((doc_id * 37) & 511)::BIGINT AS mode FROM documents")
 def q_mode_mask(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", scalars.mode_bits(F.col("doc_id") * 37).alias("mode"))
@@ -197,9 +211,9 @@ def q_json_forms(spark, sf):
     return e.select("event_id", json_string(F.col("props")).alias("quoted"), F.sha2(body, 256).alias("hash"))
 
 
-@query("SELECT doc_id, chr(39) || replace(source || chr(39) || lang, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) AS quoted, contains(source, '1') AS has_one FROM documents")
+@query("SELECT doc_id, chr(39) || replace(source || chr(39) || lang, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) AS quoted, contains(source, '1') AS has_one, replace(replace(source || chr(34) || lang, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) AS escaped, source || ', ' || lang AS shown FROM documents")
 def q_quoting(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", scalars.shell_quoted(F.concat("source", F.lit("'"), "lang")).alias("quoted"), scalars.ignored(F.col("source"), ["1"]).alias("has_one"))
+    return fx.table(spark, sf, "documents").select("doc_id", scalars.shell_quoted(F.concat("source", F.lit("'"), "lang")).alias("quoted"), scalars.ignored(F.col("source"), ["1"]).alias("has_one"), scalars.script_escaped(F.concat("source", F.lit('"'), "lang")).alias("escaped"), scalars.enumerated(F.array("source", "lang")).alias("shown"))
 
 
 @query(f"WITH {fx.DOC_SQL} SELECT string_split(path, '/')[1] AS snapshot_id, path, content, size, mode::INTEGER AS mode FROM doc_old")
@@ -251,6 +265,17 @@ def q_cdc_chunks(spark, sf):
     return chunks.content_defined(fx.table(spark, sf, "documents"), least=256, average=1024, most=4096)
 
 
+@query("SELECT doc_id, strlen(text) AS bytes, sha256(text) AS content, true AS within FROM documents WHERE text <> ''")
+def q_cdc_whole(spark, sf):
+    """What content-defined chunks must hold: in order they give the text again, and all but the last are within the bounds."""
+    d = fx.table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    parts = q_cdc_chunks(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "length"))).alias("p"))
+    piece = lambda p: F.hex(F.substring(F.col("data"), (p["start"] + 1).cast("int"), p["length"].cast("int")))
+    within = F.forall("p", lambda p: (p["length"] <= 4096) & ((p["length"] >= 256) | (p["pos"] == F.size("p") - 1)))
+    whole = F.unhex(F.array_join(F.transform("p", piece), ""))
+    return d.join(parts, "doc_id").select("doc_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, p: a + p["length"]).alias("bytes"), F.sha2(whole, 256).alias("content"), within.alias("within"))
+
+
 STORED_SQL = "stored AS (SELECT DISTINCT hash, CASE WHEN ascii(hash) % 7 = 1 THEN piece || '!' ELSE piece END AS piece FROM occ)"
 
 
@@ -359,9 +384,19 @@ def q_undo_manifest(spark, sf):
     return undo.manifest(*undo_inputs(spark, sf), "alice", HEAD)
 
 
-@query(f"{UNDO_SQL} SELECT path FROM touched WHERE path NOT IN (SELECT path FROM undone)")
+# beside the users' paths, one that alice alone makes for every fifth user
+OWN_SQL = f"""{WITH_HISTORY}, hist2 AS (SELECT seq, path, content, actor FROM hist UNION ALL
+    SELECT s.seq, 'own/' || u.user_id, sha256('own ' || u.user_id), s.actor FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 5 = 0) u JOIN snaps s ON s.seq >= 3 * (u.user_id % 9) + 1
+){UNDO_SQL[len(WITH_HISTORY) :].replace("hist", "hist2")}"""
+
+
+@query(f"{OWN_SQL} SELECT path FROM touched WHERE path NOT IN (SELECT path FROM undone)")
 def q_undo_removed(spark, sf):
-    return undo.removed(*undo_inputs(spark, sf), "alice", HEAD)
+    entries, snaps = undo_inputs(spark, sf)
+    users = fx.table(spark, sf, "events").where("user_id % 5 = 0").select("user_id").distinct()
+    own = users.join(snaps.select("seq", "actor"), F.col("seq") >= 3 * (F.col("user_id") % 9) + 1)
+    own = own.select("seq", F.concat(F.lit("own/"), F.col("user_id").cast("string")).alias("path"), F.sha2(F.concat(F.lit("own "), F.col("user_id").cast("string")), 256).alias("content"), "actor")
+    return undo.removed(entries.unionByName(own), snaps, "alice", HEAD)
 
 
 # --- tombstones and purge ---------------------------------------------------------------
@@ -505,6 +540,42 @@ def q_peers_dedup(spark, sf):
     return replication.peers(e.select(F.concat(F.lit("host"), (F.col("user_id") % 40).cast("string")).alias("addr"), (F.col("event_type") == "view").alias("secured"), F.col("event_id").alias("arrival")))
 
 
+STREAM_PATH_SQL = "CASE WHEN event_id % 13 = 0 THEN '.git/' || event_type ELSE event_type || '/' || (event_id % 50) END"
+
+
+@query(f"SELECT DISTINCT 'r' || (user_id % 10) AS root, {STREAM_PATH_SQL} AS path FROM events WHERE event_id % 13 <> 0")
+def q_watch_stream(spark, sf):
+    """All paths that the debounced stream reports for the recorded events, windows laid together; ends when no window is open."""
+    i = F.col("event_id")
+    path = F.when(i % 13 == 0, F.concat(F.lit(".git/"), "event_type")).otherwise(F.concat("event_type", F.lit("/"), (i % 50).cast("string")))
+    events = watch_events(spark, sf).select(F.concat(F.lit("r"), (F.col("user_id") % 10).cast("string")).alias("root"), path.alias("path"))
+    out = shared_dir(spark, "watch-stream")
+    spark.createDataFrame([], WATCHED).write.parquet(f"{out}/windows")
+    batches = lambda batch, _: batch.write.mode("append").parquet(f"{out}/windows")
+    query = debounced(events).writeStream.foreachBatch(batches).option("checkpointLocation", f"{out}/checkpoint").trigger(processingTime="250 milliseconds").start()
+    try:
+        for _ in range(200):  # timers make batches without end, so that the stream is never idle by itself
+            done = query.recentProgress
+            if query.awaitTermination(0.25):
+                break
+            if sum(p["numInputRows"] for p in done) and not done[-1]["numInputRows"] and not done[-1]["stateOperators"][0]["numRowsTotal"]:
+                break
+    finally:
+        query.stop()
+    if query.exception():
+        raise query.exception()
+    return spark.read.schema(WATCHED).parquet(f"{out}/windows").select("root", F.explode("paths").alias("path")).distinct()
+
+
+def watch_events(spark, sf):
+    """The events table as a stream, be it a file or a folder of files."""
+    schema, source = fx.table(spark, sf, "events").schema, f"{sf}/events.parquet"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(schema)
+    return reader.parquet(source) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
 WINDOW_SECS = 6 * 3600
 
 

@@ -6,8 +6,14 @@
     HEAD, remotes/        pointer files, swapped by rename
     audit.jsonl, tombstones.jsonl, anchors/, fleet.pub, last_order, warehouse_id
 
+The three tables lie beside the pointers or, if ``init`` is given a URI, in a folder of
+any file system that Spark reads; on a cluster it must be one that all executors share.
+The worktree itself is read and written by paths, on a disk that the executors see.
+
 One writer at a time holds the lock. Tables take new files only; what counts is what the
-pointers reach, so a writer that dies half-way leaves unreferenced rows.
+pointers reach, so a writer that dies half-way leaves unreferenced rows. A purge replaces
+whole folders of chunks by a journal, which the next writer ends if its own died. A
+snapshot's id hashes its header and entries alone, so a reader can compute it again.
 """
 
 from __future__ import annotations
@@ -21,14 +27,14 @@ import os
 import secrets
 import subprocess
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, signing
-from tidemark.functions.hashing import fan_out
-from tidemark.operators import chains, chunks, diff, history, purge, replication, undo
+from tidemark.functions.hashing import fan_out, json_text
+from tidemark.operators import chains, chunks, diff, history, ordering, purge, replication, undo
 from tidemark.sources.shared import stored
 from tidemark.sources.worktree import hash_file, read_worktree
 
@@ -36,6 +42,8 @@ STORE = ".tidemark"
 VERSION, VERSIONS = 3, (2, 3)
 MOST_FILES, MOST_CHUNKS = 2_000_000, 8_000_000
 IGNORE_FILE = ".tidemarkignore"
+#: How often a file is read that changes meanwhile.
+READS = 4
 CHUNKS = "hash string, length int, data binary, prefix string"
 ENTRIES = "pos long, path string, mode int, size long, mtime_secs long, mtime_nanos int, content string, chunks array<string>, snapshot_id string"
 SNAPSHOTS = "snapshot_id string, parent_id string, version int, timestamp_secs long, message string, actor string, unstable array<string>, n long"
@@ -80,6 +88,16 @@ class GuardReport:
         return self.exit_code if self.exit_code is not None else 128 + self.signal if self.signal is not None else 1
 
 
+def snapshot_ids(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
+    """(snapshot_id, id): the id that each snapshot's header and entries give, group by group of paths."""
+    body = F.to_json(F.struct("path", "mode", "size", "mtime_secs", "mtime_nanos", "content", "chunks"))
+    hashed = entries.select("snapshot_id", F.substring(F.sha2("path", 256), 1, 2).alias("g"), body.alias("body"))
+    groups = hashed.groupBy("snapshot_id", "g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("body")), "\n"), 256).alias("h"))
+    roots = groups.groupBy("snapshot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "").alias("root"))
+    header = F.to_json(F.struct("version", "parent_id", "timestamp_secs", "message", "actor", F.array_sort("unstable").alias("unstable")), {"ignoreNullFields": "false"})
+    return snapshots.join(roots, "snapshot_id", "left").select("snapshot_id", F.sha2(F.concat_ws("\n", header, "root"), 256).alias("id"))
+
+
 def atomic_write(path: str, text: str) -> None:
     tmp = f"{path}.{secrets.token_hex(8)}.tmp"
     with os.fdopen(os.open(tmp, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o644), "w") as file:
@@ -89,10 +107,6 @@ def atomic_write(path: str, text: str) -> None:
     os.replace(tmp, path)
 
 
-def json_string(text: str) -> str:
-    return json.dumps(text, ensure_ascii=False)
-
-
 def find_root(start: str) -> str:
     """The nearest directory at or above start that holds a store."""
     at = os.path.abspath(start)
@@ -108,13 +122,15 @@ class Warehouse:
         self.spark, self.root, self.path = spark, os.path.abspath(root), os.path.join(os.path.abspath(root), STORE)
 
     @classmethod
-    def init(cls, spark: SparkSession, root: str) -> Warehouse:
-        """Make the layout where it is missing; harmless when repeated."""
+    def init(cls, spark: SparkSession, root: str, tables: str | None = None) -> Warehouse:
+        """Make the layout where it is missing; harmless when repeated. tables: URI of a folder for the tables."""
         w = cls(spark, root)
         fresh = not os.path.exists(w._at("HEAD"))
         for d in ("chunks", "entries", "snapshots", "remotes", "anchors"):
             os.makedirs(w._at(d), exist_ok=True)
         if fresh:
+            if tables:
+                atomic_write(w._at("tables"), tables.rstrip("/"))
             atomic_write(w._at("HEAD"), "")
             atomic_write(w._at("warehouse_id"), secrets.token_hex(32))
             w.record("init", w.root)
@@ -123,10 +139,25 @@ class Warehouse:
     def _at(self, *parts: str) -> str:
         return os.path.join(self.path, *parts)
 
+    def _uri(self, *parts: str) -> str:
+        """A place among the tables."""
+        base = f"file://{self.path}"
+        with contextlib.suppress(FileNotFoundError), open(self._at("tables")) as file:
+            base = file.read().strip()
+        return "/".join([base, *parts])
+
+    def _fs(self, uri: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def _table(self, name: str, schema: str) -> DataFrame:
-        if not any(f.endswith(".parquet") for _, _, files in os.walk(self._at(name)) for f in files):
+        fs, path = self._fs(self._uri(name))
+        if not fs.exists(path) or not any(not s.getPath().getName().startswith((".", "_")) for s in fs.listStatus(path)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"file://{self._at(name)}")
+        return self.spark.read.schema(schema).parquet(self._uri(name))
+
+    def _append(self, rows: DataFrame, name: str, *partitions: str) -> None:
+        rows.write.mode("append").option("compression", "zstd").partitionBy(*partitions).parquet(self._uri(name))
 
     def chunks(self) -> DataFrame:
         return self._table("chunks", CHUNKS)
@@ -145,6 +176,7 @@ class Warehouse:
                 fcntl.flock(file, fcntl.LOCK_EX | fcntl.LOCK_NB)
             except OSError as e:
                 raise Locked("another writer is at work") from e
+            self._end_sweep()
             yield
 
     # --- pointers and logs ---
@@ -168,18 +200,19 @@ class Warehouse:
                     entry = json.loads(line)
                     seq, prev = entry["seq"] + 1, entry["hash"]
         ts = int(time.time())
-        body = f"[{seq},{ts},{json_string(event)},{json_string(detail)},{json_string(prev)}]"
+        body = f"[{seq},{ts},{json_text(event)},{json_text(detail)},{json_text(prev)}]"
         entry = {"seq": seq, "ts": ts, "event": event, "detail": detail, "prev": prev, "hash": hashlib.sha256(body.encode()).hexdigest()}
         with open(self._at("audit.jsonl"), "a", encoding="utf-8") as file:
-            file.write(json.dumps(entry, ensure_ascii=False) + "\n")
+            file.write("{" + ",".join(f"{json_text(k)}:{v if isinstance(v, int) else json_text(v)}" for k, v in entry.items()) + "}\n")
 
     def _lines(self, name: str, schema: str) -> DataFrame:
         """JSON lines with their numbers, blank ones left out; line_no counts as written."""
         if not os.path.exists(self._at(name)):
             return self.spark.createDataFrame([], f"line_no long, raw string, {schema}")
-        text = self.spark.read.option("wholetext", True).text(f"file://{self._at(name)}")
-        rows = text.select(F.posexplode(F.split("value", "\n")).alias("line_no", "raw")).where(F.trim("raw") != "")
-        return rows.select(F.col("line_no").cast("long").alias("line_no"), "raw", F.from_json("raw", schema).alias("j")).select("line_no", "raw", "j.*")
+        # a file's lines in order of its splits and of lines in a split
+        lines = self.spark.read.option("lineSep", "\n").text(f"file://{self._at(name)}").select(F.col("value").alias("raw"), "_metadata.file_block_start")
+        rows = ordering.numbered(lines, "file_block_start", name="line_no", stable=True).where(F.trim("raw") != "")
+        return rows.select("line_no", "raw", F.from_json("raw", schema).alias("j")).select("line_no", "raw", "j.*")
 
     def audit(self) -> DataFrame:
         return self._lines("audit.jsonl", AUDIT)
@@ -206,59 +239,93 @@ class Warehouse:
     def hashed(self, files: DataFrame) -> DataFrame:
         """files with the hash of each regular file's bytes."""
         root = self.root
-        hash_of = F.udf(lambda path, kind: hash_file(os.path.join(root, path)) if kind == "file" else None, "string")
+        @F.pandas_udf("string")
+        def hash_of(paths, kinds):
+            import pandas as pd
+
+            return pd.Series([hash_file(os.path.join(root, p)) if k == "file" else None for p, k in zip(paths, kinds, strict=True)], dtype=object)
+
         return files.withColumn("content", hash_of("path", "kind"))
 
-    def cut(self, files: DataFrame) -> DataFrame:
-        """(path, pos, hash, length, data, content) for each chunk of each file; one row of pos null for empty ones."""
-        root = self.root
+    def cut(self, files: DataFrame, with_data: bool = False) -> DataFrame:
+        """(path, pos, start, hash, length, data, content, stable) for each chunk of each file; one row of pos null for empty ones.
+
+        A file is read a block at a time, and again, up to ``READS`` times, if its size or
+        time changed meanwhile; stable tells whether they held at last. Data are null
+        unless asked for.
+        """
+        root, columns = self.root, ["path", "pos", "start", "hash", "length", "data", "content", "stable"]
+
+        def once(path: str) -> tuple[list, str, bool]:
+            fd = os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW)
+            rows, start, whole = [], 0, hashlib.sha256()
+            with os.fdopen(fd, "rb") as file:
+                before = os.fstat(fd)
+                for data in chunks.cut_stream(file.read):
+                    whole.update(data)
+                    rows.append((path, len(rows), start, hashlib.sha256(data).hexdigest(), len(data), data if with_data else None))
+                    start += len(data)
+                after = os.lstat(os.path.join(root, path))
+            return rows, whole.hexdigest(), (before.st_size, before.st_mtime_ns, before.st_ino) == (after.st_size, after.st_mtime_ns, after.st_ino)
 
         def read(batches: Iterator) -> Iterator:
             import pandas as pd
 
             for frame in batches:
                 for path in frame["path"]:
-                    fd = os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW)
-                    with os.fdopen(fd, "rb") as file:
-                        data = file.read()
-                    whole, start = hashlib.sha256(data).hexdigest(), 0
-                    rows = []
-                    for pos, end in enumerate(chunks.cut_points(data)):
-                        rows.append((path, pos, hashlib.sha256(data[start:end]).hexdigest(), end - start, data[start:end], whole))
-                        start = end
-                    yield pd.DataFrame(rows or [(path, None, None, None, None, whole)], columns=["path", "pos", "hash", "length", "data", "content"]).astype({"pos": "Int32", "length": "Int32"})
-
-        return files.select("path").mapInPandas(read, "path string, pos int, hash string, length int, data binary, content string")
+                    for _ in range(READS):
+                        rows, whole, stable = once(path)
+                        if stable:
+                            break
+                    every = [(*r, whole, stable) for r in rows] or [(path, None, None, None, None, None, whole, stable)]
+                    for k in range(0, len(every), 64):
+                        yield pd.DataFrame(every[k : k + 64], columns=columns).astype({"pos": "Int32", "start": "Int64", "length": "Int32"})
+
+        return files.select("path").mapInPandas(read, "path string, pos int, start long, hash string, length int, data binary, content string, stable boolean")
+
+    def pieces(self, wanted: DataFrame) -> DataFrame:
+        """(path, hash, length, data) of parts of files, given as path, start, hash and length; data that changed meanwhile are null."""
+        root = self.root
+
+        def read(batches: Iterator) -> Iterator:
+            import pandas as pd
+
+            for frame in batches:
+                for path, start, hash_, length in zip(frame["path"], frame["start"], frame["hash"], frame["length"], strict=True):
+                    data = b""
+                    with contextlib.suppress(OSError), os.fdopen(os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW), "rb") as file:
+                        file.seek(start)
+                        data = file.read(length)
+                    ok = hashlib.sha256(data).hexdigest() == hash_
+                    yield pd.DataFrame([(path, hash_, length, data if ok else None)], columns=["path", "hash", "length", "data"])
+
+        return wanted.select("path", "start", "hash", "length").mapInPandas(read, "path string, hash string, length int, data binary")
 
     def put_chunks(self, new: DataFrame) -> None:
         """Insert what isn't there; data that don't have their claimed hash are an error."""
         if not new.where(F.sha2("data", 256) != F.col("hash")).isEmpty():
             raise Corrupt("a chunk doesn't have its claimed hash")
         absent = chunks.absent(new.select("hash", "length", "data"), self.chunks().select("hash"))
-        stored(absent, "new-chunks").withColumn("prefix", fan_out(F.col("hash"))).write.mode("append").option("compression", "zstd").partitionBy("prefix").parquet(f"file://{self._at('chunks')}")
+        self._append(stored(absent, "new-chunks").withColumn("prefix", fan_out(F.col("hash"))), "chunks", "prefix")
 
     def put_snapshot(self, entries: DataFrame, message: str, actor: str | None, unstable: list[str] = (), parent: str | None = None) -> str:
-        """Validate and append; the id hashes the entries, group by group, with the header."""
+        """Validate and append; one that is there already, header and all, isn't stored again."""
         entries = stored(entries, "entries")
         self.validate(entries)
-        body = F.to_json(F.struct("path", "mode", "size", "mtime_secs", "mtime_nanos", "content", "chunks"))
-        groups = entries.withColumn("g", F.substring(F.sha2("path", 256), 1, 2)).groupBy("g").agg(F.array_sort(F.collect_list(body)).alias("b")).select(F.sha2(F.array_join("b", "\n"), 256).alias("h"), "g")
-        root = groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ""), 256)).first()[0] or ""
-        header = {"version": VERSION, "parent": parent, "timestamp_secs": int(time.time()), "message": message, "actor": actor, "unstable": sorted(unstable)}
-        # time alone can't tell two snapshots of one second apart
         n = self.snapshots().count()
-        snapshot_id = hashlib.sha256(f"{json.dumps(header)}{n}{root}".encode()).hexdigest()
-        entries.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("append").partitionBy("snapshot_id").parquet(f"file://{self._at('entries')}")
-        row = (snapshot_id, parent, VERSION, header["timestamp_secs"], message, actor, sorted(unstable), n)
-        self.spark.createDataFrame([row], SNAPSHOTS).coalesce(1).write.mode("append").parquet(f"file://{self._at('snapshots')}")
+        row = ("", parent, VERSION, int(time.time()), message, actor, sorted(unstable), n)
+        header = self.spark.createDataFrame([row], SNAPSHOTS)
+        snapshot_id = snapshot_ids(header, entries.withColumn("snapshot_id", F.lit(""))).first()["id"]
+        if self.snapshots().where(F.col("snapshot_id") == snapshot_id).isEmpty():
+            self._append(entries.withColumn("snapshot_id", F.lit(snapshot_id)), "entries", "snapshot_id")
+            self._append(header.withColumn("snapshot_id", F.lit(snapshot_id)).coalesce(1), "snapshots")
         return snapshot_id
 
-    def validate(self, entries: DataFrame) -> None:
-        bad = diff.violations(entries, scalars.safe_path(F.col("path")), MOST_CHUNKS).first()
+    def validate(self, entries: DataFrame, key: str | None = None) -> None:
+        """Constraints of one manifest or, told apart by key, of several."""
+        bad = diff.violations(entries, scalars.safe_path(F.col("path")), MOST_CHUNKS, MOST_FILES, key).first()
         if bad:
             raise Corrupt(f"{bad['constraint']}: {bad['path']}")
-        if entries.count() > MOST_FILES:
-            raise Corrupt("too many files")
 
     def snap(self, message: str = "", actor: str | None = None) -> str:
         with self.lock():
@@ -270,15 +337,21 @@ class Warehouse:
         tombs = self.tombstones().select("path", "content")
         files = self.live().where("kind = 'file'").join(tombs.select("path"), "path", "left_anti")
         before = stored(files, "scan")
-        cut = stored(self.cut(before).join(tombs.select("content"), "content", "left_anti"), "cut")
-        self.put_chunks(cut.where("pos IS NOT NULL"))
-        lists = cut.groupBy("path", "content").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "hash")))), lambda x: x["hash"]).alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes"))
-        after = self.live().select("path", F.col("mtime_secs").alias("s2"), F.col("mtime_nanos").alias("n2"))
-        rows = stored(before.drop("content").join(lists, "path").join(after, "path", "left"), "rows")
-        moved = ~(F.col("mtime_secs").eqNullSafe(F.col("s2")) & F.col("mtime_nanos").eqNullSafe(F.col("n2")))
-        unstable = [r["path"] for r in rows.where(moved).select("path").collect()]
-        pos = F.row_number().over(Window.orderBy(F.split("path", "/"))) - 1
-        entries = rows.select(pos.cast("long").alias("pos"), "path", scalars.mode_bits(F.col("mode")).alias("mode"), F.col("bytes").alias("size"), "mtime_secs", "mtime_nanos", "content", "chunks")
+        cut = stored(self.cut(before).drop("data").join(tombs.select("content"), "content", "left_anti"), "cut")
+        # hashes first; only data that aren't there are read again and travel
+        data = stored(self.pieces(chunks.absent(cut.where("pos IS NOT NULL"), self.chunks().select("hash"))), "pieces")
+        torn = stored(data.where("data IS NULL").select("path").distinct(), "torn")
+        if not torn.isEmpty():  # these changed between the two looks: what one look sees counts
+            again = stored(self.cut(torn, with_data=True).join(tombs.select("content"), "content", "left_anti"), "cut-again")
+            self.put_chunks(again.where("pos IS NOT NULL"))
+            again = again.drop("data").withColumn("stable", F.lit(False))
+            cut = stored(cut.join(torn, "path", "left_anti").unionByName(again), "cut")
+        self.put_chunks(data.where("data IS NOT NULL"))
+        lists = cut.groupBy("path", "content").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "hash")))), lambda x: x["hash"]).alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes"), F.bool_and("stable").alias("stable"))
+        rows = stored(before.drop("content").join(lists, "path"), "rows")
+        moved = ~F.col("stable") | (F.col("bytes") != F.col("size"))
+        unstable = [r["path"] for r in rows.where(moved).select("path").collect()]  # a list in the snapshot's header
+        entries = ordering.numbered(rows, F.split("path", "/"), name="pos").select("pos", "path", scalars.mode_bits(F.col("mode")).alias("mode"), F.col("bytes").alias("size"), "mtime_secs", "mtime_nanos", "content", "chunks")
         snapshot_id = self.put_snapshot(entries, message, actor, unstable, self.head())
         self.set_head(snapshot_id)
         self.record(event, f"{snapshot_id[:12]} {message}")
@@ -295,7 +368,20 @@ class Warehouse:
         return found
 
     def log(self, n: int = 20) -> DataFrame:
-        return history.log(history.listing(self.snapshots(), self.chain()), n)
+        """The newest snapshots, with how many files each has."""
+        listed = stored(history.log(history.listing(self.snapshots(), self.chain()), n), "log")  # n rows
+        files = self.entries().join(listed.select("snapshot_id"), "snapshot_id", "left_semi").groupBy("snapshot_id").agg(F.count("*").alias("files"))
+        return listed.join(files, "snapshot_id", "left").fillna(0, ["files"]).orderBy(*history.newest_first())
+
+    def object(self, hash_: str) -> bytes:
+        """The data of one chunk, checked."""
+        try:
+            data = chunks.point_read(self.chunks().where(F.col("prefix") == hash_[:2].lower()), hash_)
+        except ValueError as e:
+            raise Corrupt(str(e)) from e
+        if data is None:
+            raise MissingObject(hash_)
+        return data
 
     def show(self, reference: str = "head") -> DataFrame:
         snapshot_id = self.resolve(reference)
@@ -340,21 +426,43 @@ class Warehouse:
         writes = stored(diff.write_set(manifest, live), "writes")
         gone = stored(diff.extras(live, manifest, keep_extra), "extras")
         self._write(writes)
-        modes = {r["path"]: r["mode"] for r in manifest.select("path", "mode").toLocalIterator()}
-        for path, mode in modes.items():
-            os.chmod(os.path.join(self.root, path), scalars.MODE_BITS & mode)
-        for row in gone.where("action = 'removed'").toLocalIterator():
-            os.unlink(os.path.join(self.root, row["path"]))
-        for row in diff.empty_directories(live, manifest).orderBy(F.col("depth").desc()).collect() if not keep_extra else []:
-            with contextlib.suppress(OSError):
-                os.rmdir(os.path.join(self.root, row["dir"]))
+        bits = scalars.MODE_BITS
+        self._each(manifest.select("path", "mode"), lambda path, mode: os.chmod(path, bits & mode))
+        self._each(gone.where("action = 'removed'").select("path"), os.unlink)
+        if not keep_extra:
+            self._prune(diff.empty_directories(live, manifest))
         return writes.select("path", F.lit("restored").alias("action")).unionByName(gone)
 
+    def _each(self, rows: DataFrame, act: Callable, missing_ok: bool = False) -> None:
+        """act(full path, *other columns) for each row, on the executors."""
+        root, ok = self.root, FileNotFoundError if missing_ok else ()
+
+        def run(batches: Iterator) -> Iterator:
+            for frame in batches:
+                for path, *rest in frame.itertuples(index=False):
+                    with contextlib.suppress(ok):
+                        act(os.path.join(root, path), *rest)
+                yield frame.iloc[:, :1]
+
+        rows.mapInPandas(run, "path string").count()
+
+    def _prune(self, directories: DataFrame) -> None:
+        """Remove directories that are empty, the deepest first: a job for each depth."""
+
+        def remove(path: str) -> None:
+            with contextlib.suppress(OSError):
+                os.rmdir(path)
+
+        found = stored(directories, "directories")
+        for depth in sorted((r[0] for r in found.select("depth").distinct().collect()), reverse=True):
+            self._each(found.where(F.col("depth") == depth).select(F.col("dir").alias("path")), remove)
+
     def _write(self, writes: DataFrame) -> None:
         """Put files in place by rename, each checked against its content hash; links on the way are refused."""
         root = self.root
         pieces = writes.select("path", "content", F.posexplode_outer("chunks").alias("pos", "hash"))
-        rows = pieces.join(self.chunks().select("hash", "data"), "hash", "left")
+        data = self.chunks().select("hash", "data").join(pieces.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+        rows = pieces.join(data, "hash", "left")
 
         def place(group):
             path, content = group["path"].iloc[0], group["content"].iloc[0]
@@ -391,11 +499,10 @@ class Warehouse:
             wanted = undo.manifest(facts, seqs, name, F.lit(last))
             versions = entries.groupBy("path", "content").agg(F.max_by(F.struct("mode", "size", "mtime_secs", "mtime_nanos", "chunks"), "seq").alias("e"))
             manifest = wanted.join(versions, ["path", "content"]).select(F.lit(0).cast("long").alias("pos"), "path", "e.mode", "e.size", "e.mtime_secs", "e.mtime_nanos", "content", "e.chunks")
-            gone = [r["path"] for r in undo.removed(facts, seqs, name, F.lit(last)).collect()]
+            gone = stored(undo.removed(facts, seqs, name, F.lit(last)).select("path"), "undone")
+            manifest = ordering.numbered(manifest.drop("pos"), F.split("path", "/"), name="pos").select(manifest.columns)
             report = self._apply(manifest, keep_extra=True, force=False)
-            for path in gone:
-                with contextlib.suppress(FileNotFoundError):
-                    os.unlink(os.path.join(self.root, path))
+            self._each(gone, os.unlink, missing_ok=True)
             self._snap(f"undo {name}", None, "revert-actor")
             return report
 
@@ -447,14 +554,7 @@ class Warehouse:
                 raise Purged(f"{path} is already purged")
             counts = purge.purge_counts(used.where(F.col("hash").isNotNull()), self.chunks(), path).first().asDict()
             doomed = stored(purge.sweep(used.where(F.col("hash").isNotNull()), path).where("action = 'delete'").select("hash"), "doomed")
-            prefixes = [r[0] for r in doomed.select(F.substring("hash", 1, 2)).distinct().collect()]
-            if prefixes:
-                kept = stored(self.chunks().where(F.col("prefix").isin(prefixes)).join(doomed, "hash", "left_anti"), "kept-chunks")
-                folders = [self._at("chunks", f"prefix={p}") for p in prefixes]
-                old = [os.path.join(f, name) for f in folders if os.path.isdir(f) for name in os.listdir(f)]
-                kept.write.mode("append").option("compression", "zstd").partitionBy("prefix").parquet(f"file://{self._at('chunks')}")
-                for name in old:  # after the copy is complete
-                    os.unlink(name)
+            self._sweep(doomed)
             ts = int(time.time())
             tomb = {"path": path, "content": content, "purge_id": hashlib.sha256(f"{path}:{content}".encode()).hexdigest()[:16], "ts": ts}
             with open(self._at("tombstones.jsonl"), "a", encoding="utf-8") as file:
@@ -466,9 +566,43 @@ class Warehouse:
             self.record("purge", path)
             return payload | {"certificate": signing.signed_document(self.spark, CERTIFICATE, payload, key)}
 
+    def _sweep(self, doomed: DataFrame) -> None:
+        """Delete chunks: the folders they lie in are written anew beside the table and then swapped, under a journal."""
+        prefixes = sorted(r[0] for r in doomed.select(fan_out(F.col("hash"))).distinct().collect())  # 256 at most
+        if not prefixes:
+            return
+        staging = f"sweep-{secrets.token_hex(8)}"
+        kept = stored(self.chunks().where(F.col("prefix").isin(prefixes)).join(doomed, "hash", "left_anti"), "kept-chunks")
+        full = sorted(r[0] for r in kept.select("prefix").distinct().collect())
+        kept.write.option("compression", "zstd").partitionBy("prefix").parquet(self._uri(staging))
+        atomic_write(self._at("sweep"), json.dumps({"staging": staging, "full": full, "empty": [p for p in prefixes if p not in full]}))
+        self._end_sweep()
+
+    def _end_sweep(self) -> None:
+        """Carry out the journal, if there is one: each folder that waits takes its place, others go. A part that is done isn't found again."""
+        try:
+            with open(self._at("sweep")) as file:
+                journal = json.load(file)
+        except FileNotFoundError:
+            return
+        fs, staging = self._fs(self._uri(journal["staging"]))
+        place = lambda base, prefix: self._fs(self._uri(base, f"prefix={prefix}"))[1]
+        for prefix in journal["full"]:
+            new, old = place(journal["staging"], prefix), place("chunks", prefix)
+            if fs.exists(new):
+                fs.delete(old, True)
+                if not fs.rename(new, old):
+                    raise OSError(f"could not replace {old.toString()}")
+        for prefix in journal["empty"]:
+            fs.delete(place("chunks", prefix), True)
+        os.unlink(self._at("sweep"))
+        fs.delete(staging, True)
+
     def verify_certificate(self, certificate: str, pubkey: str | None = None, objects: bool = False) -> dict:
         """The payload of a certificate whose tombstone is here; with objects, also that no chunk of the content is left."""
         payload = signing.opened(self.spark, certificate, CERTIFICATE, pubkey)
+        if payload.get("warehouse_id") != self.warehouse_id():
+            raise Corrupt("a certificate of another warehouse")
         row = self.spark.createDataFrame([(payload["path"], payload["content"])], "path string, content string")
         if purge.certified(row, self.tombstones()).isEmpty():
             raise Corrupt("no tombstone for this certificate")
@@ -480,27 +614,43 @@ class Warehouse:
         return payload
 
     def pull(self, peer: Warehouse, name: str | None = None) -> dict:
-        """Fetch what HEAD of another warehouse reaches and this one lacks: manifests are validated first, then chunks, then manifests are stored."""
+        """Fetch what HEAD of another warehouse reaches and this one lacks: manifests are verified first, then chunks, then manifests are stored.
+
+        A warehouse without snapshots becomes a copy of the other one and takes its id, so
+        that orders and certificates of the one hold for the other.
+        """
         with self.lock():
-            remote_head = peer.head()
-            if remote_head is None:
-                return {"remote_head": None, "manifests_fetched": 0, "fetched": 0, "skipped": 0, "remote_missing": 0}
-            reached = stored(peer.chain().select("snapshot_id"), "reached")
-            theirs = peer.snapshots().join(reached, "snapshot_id", "left_semi")
-            new = stored(theirs.join(self.snapshots(), "snapshot_id", "left_anti"), "new-snapshots")
-            entries = stored(peer.entries().join(new, "snapshot_id", "left_semi").select(self.entries().columns), "new-entries")
-            self.validate(entries)
-            needed = peer.entries().join(reached, "snapshot_id", "left_semi").select(F.explode("chunks").alias("hash"))
-            counts = replication.pull_counts(needed, peer.chunks(), self.chunks()).first().asDict()
-            self.put_chunks(peer.chunks().join(replication.fetch_set(needed, peer.chunks(), self.chunks()), "hash", "left_semi"))
-            n = new.count()
-            if n:
-                entries.write.mode("append").partitionBy("snapshot_id").parquet(f"file://{self._at('entries')}")
-                new.select(self.snapshots().columns).write.mode("append").parquet(f"file://{self._at('snapshots')}")
-            ref = self.spark.range(1).select(scalars.ref_name(F.lit(name or peer.root))).first()[0]
-            atomic_write(self._at("remotes", ref), remote_head)
-            self.record("pull", f"{ref} {remote_head[:12]}")
-            return {"remote_head": remote_head, "manifests_fetched": n, **counts}
+            return self._pull(peer, name)
+
+    def _pull(self, peer: Warehouse, name: str | None = None) -> dict:
+        remote_head = peer.head()
+        if remote_head is None:
+            return {"remote_head": None, "manifests_fetched": 0, "fetched": 0, "skipped": 0, "remote_missing": 0}
+        first = self.snapshots().isEmpty()
+        reached = stored(peer.chain().select("snapshot_id"), "reached")
+        theirs = peer.snapshots().join(reached, "snapshot_id", "left_semi")
+        new = stored(theirs.join(self.snapshots(), "snapshot_id", "left_anti"), "new-snapshots")
+        entries = stored(peer.entries().join(new, "snapshot_id", "left_semi").select(self.entries().columns), "new-entries")
+        other = new.where(~F.col("version").isin(*VERSIONS)).first()
+        if other:
+            raise Corrupt(f"version {other['version']} of {other['snapshot_id'][:12]}")
+        self.validate(entries, "snapshot_id")
+        forged = snapshot_ids(new, entries).where("id != snapshot_id").first()
+        if forged:
+            raise Corrupt(f"a manifest doesn't have its id {forged['snapshot_id'][:12]}")
+        needed = peer.entries().join(reached, "snapshot_id", "left_semi").select(F.explode("chunks").alias("hash"))
+        counts = replication.pull_counts(needed, peer.chunks(), self.chunks()).first().asDict()
+        self.put_chunks(peer.chunks().join(replication.fetch_set(needed, peer.chunks(), self.chunks()), "hash", "left_semi"))
+        n = new.count()
+        if n:
+            self._append(entries, "entries", "snapshot_id")
+            self._append(new.select(self.snapshots().columns), "snapshots")
+        if first:
+            atomic_write(self._at("warehouse_id"), peer.warehouse_id())
+        ref = self.spark.range(1).select(scalars.ref_name(F.lit(name or peer.root))).first()[0]
+        atomic_write(self._at("remotes", ref), remote_head)
+        self.record("pull", f"{ref} {remote_head[:12]}")
+        return {"remote_head": remote_head, "manifests_fetched": n, **counts}
 
     # --- checkpoints and orders ---
 
@@ -573,24 +723,29 @@ class Warehouse:
         return signing.signed_document(self.spark, ORDER, payload, key)
 
     def apply_order(self, order: str, source: Warehouse | None = None, force: bool = False) -> DataFrame:
-        """Verify against the pinned key, refuse orders older than the last, pull if a source is given, revert."""
+        """Verify against the pinned key, refuse orders of other warehouses and orders older than the last, pull what is missing if a source is given, revert."""
         try:
             with open(self._at("fleet.pub")) as file:
                 pinned = file.read().strip()
         except FileNotFoundError:
             raise WarehouseError("no fleet key is pinned") from None
         payload = signing.opened(self.spark, order, ORDER, pinned)
-        last = 0
-        with contextlib.suppress(FileNotFoundError), open(self._at("last_order")) as file:
-            last = int(file.read())
-        if payload["ts"] < last:
-            raise WarehouseError("an order older than the last one")
-        if source is not None:
-            self.pull(source)
         with self.lock():
+            last = 0
+            with contextlib.suppress(FileNotFoundError), open(self._at("last_order")) as file:
+                last = int(file.read())
+            if payload["ts"] < last:
+                raise WarehouseError("an order older than the last one")
+            absent = self.snapshots().where(F.col("snapshot_id") == payload["target"]).isEmpty()
+            if source is not None and absent and self.snapshots().isEmpty() and source.warehouse_id() == payload["warehouse_id"]:
+                self._pull(source)  # an empty warehouse takes the other's id
+            if payload.get("warehouse_id") != self.warehouse_id():
+                raise Corrupt("an order for another warehouse")
+            if source is not None and absent:
+                self._pull(source)
             report = self._apply(self.show(payload["target"]), keep_extra=False, force=force)
             self.set_head(payload["target"])
-            atomic_write(self._at("last_order"), str(payload["ts"]))
+            atomic_write(self._at("last_order"), str(max(last, payload["ts"])))
             self.record("fleet-revert", payload["target"][:12])
             return report
 
