@@ -1,3 +1,4 @@
+import struct
 import zlib
 
 import numpy as np
@@ -62,3 +63,14 @@ def test_hash_follows_low_frequencies():
     other = np.flip(smooth, 1).copy()
     bits = lambda a, b: bin(int(media.cosine_hash(a), 16) ^ int(media.cosine_hash(b), 16)).count("1")
     assert bits(smooth, noisy) < 12 < bits(smooth, other)
+
+
+def test_small_files_that_inflate_to_much_are_refused():
+    """The header says 576 samples, the data hold a hundred million."""
+    bomb = zlib.compress(b"\0" * 100_000_000, 9)
+    data = media.SIGNATURE + media.chunk(b"IHDR", struct.pack(">IIBBBBB", 576, 1, 8, 0, 0, 0, 0)) + media.chunk(b"IDAT", bomb) + media.chunk(b"IEND", b"")
+    with pytest.raises(media.DamagedMedia):
+        media.read_png(data)
+    cut = zlib.compress(b"\0" * 577, 9)[:-4]
+    with pytest.raises(media.DamagedMedia):
+        media.read_png(media.SIGNATURE + media.chunk(b"IHDR", struct.pack(">IIBBBBB", 576, 1, 8, 0, 0, 0, 0)) + media.chunk(b"IDAT", cut) + media.chunk(b"IEND", b""))

@@ -3,8 +3,13 @@
 ``write_png`` and ``read_png`` handle 8-bit greyscale. The writer filters each row by
 None, Sub or Up, whichever has the least sum of absolute differences; the reader undoes
 all five filter types, tests the checksum of every chunk and the sizes, and raises on
-damage. The feature is a perceptual hash: block means to 32 x 32, a two-dimensional
-cosine transform, the 8 x 8 low-frequency corner against its median.
+damage; it never inflates more than the header's size asks for. The feature is a
+perceptual hash: block means to 32 x 32, a two-dimensional cosine transform, the 8 x 8
+low-frequency corner against its median.
+
+Null texts count as empty; an empty text is one row of padding. Very long texts become
+tall pictures. Rows that repeat are stored and read each, with equal values. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,11 +117,12 @@ def read_png(data: bytes) -> np.ndarray:
     w, h, *rest = header
     if rest != [8, 0, 0, 0, 0]:
         raise DamagedMedia("only 8-bit greyscale without interlacing is read")
+    size, inflate = h * (w + 1), zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(body))
+        raw = inflate.decompress(b"".join(body), size + 1)
     except zlib.error as e:
         raise DamagedMedia(str(e)) from e
-    if len(raw) != h * (w + 1):
+    if len(raw) != size or not (inflate.eof or inflate.decompress(inflate.unconsumed_tail, 1) == b"" and inflate.eof):
         raise DamagedMedia("wrong number of samples")
     return unfilter(np.frombuffer(raw, np.uint8).reshape(h, w + 1))
 

@@ -1,8 +1,8 @@
 """Packing: order-preserving dynamic programming over cut points, with a monotone queue.
 
 The token stream of a partition is cut into windows of at most ``window`` tokens. A cut
-may fall at a document's end, at a sentence's end or, where neither is near, at a hard
-grid point. Let S(j) be the stream position of cut j and p(j) its truncation penalty.
+may fall at a document's end, at a sentence's end or, inside of sentences longer than
+that, at every ``HARD_GRID``-th token; the optimum is that over these cut points. Let S(j) be the stream position of cut j and p(j) its truncation penalty.
 
     f(j) = min over i with S(j) - window <= S(i) < S(j) of  f(i) + window - (S(j) - S(i)) + p(j)
 
