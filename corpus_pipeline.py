@@ -3,7 +3,13 @@
 Each stage is written as Parquet to the folder in spark.checkpoint.dir and read again as
 the next one's input, so a lost executor costs its running tasks only. All stages but the
 last return the columns of documents. SQL can't express the stages; tests compare them
-with brute-force versions.
+with brute-force versions, one by one and in a row.
+
+Null texts count as empty: such documents aren't toxic, have no near-duplicates and are
+packed as their end token; their text stays null until then. Rows without an id stay.
+Rows that repeat an id are one document to the near-duplicate stage. Very long texts go
+through whole. Further columns of documents are kept by all stages but the last. Empty
+tables give an empty result; without labels of both classes nothing is toxic.
 """
 
 from __future__ import annotations
