@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 
 #: Words of a piece, at least and at most, and of a fine one at most; how many fine ones a long text has, about.
-LEAST_WORDS, PIECE_WORDS, FINE_WORDS, FINE = 8, 24, 3, 16
+LEAST_WORDS, PIECE_WORDS, FINE_WORDS, FINE = 16, 32, 3, 8
 #: Last characters of a word that end a piece.
 ENDS = ".!?"
 #: Cells of a sub-table of a shard.
