@@ -2,10 +2,11 @@
 
 A text's paragraphs (lines) are cut into pieces: from its ``LEAST_WORDS``-th word on, a
 piece ends with a word whose last character is one of ``ENDS``, or with its
-``PIECE_WORDS``-th word, so that some way behind an edit the cuts fall as before. Each piece is hashed to a digest. Pieces of at most
-``FINE_WORDS`` words are digests too if their hash lies under ``FINE`` / their number: in
-a short text all of them, in a long one some ``FINE``. That share changes little between
-texts of similar length, so the same rule holds for both sides of a comparison.
+``PIECE_WORDS``-th word, so that some way behind an edit the cuts fall as before.Each
+piece is hashed to a digest. Pieces of at most ``FINE_WORDS`` words are digests too if
+their hash lies under a share that falls with the text's length, from all of them in a
+line to none at ``FINE_UNTIL`` characters. It falls smoothly, so texts of similar length
+are cut by nearly the same rule, on both sides of a comparison.
 
 A sketch has cells of (count, xor of digests, xor of checks) in three sub-tables; every
 digest is added to one cell of each. Two sketches of one layout subtract cell by cell,
@@ -44,8 +45,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
-#: Words of a piece, at least and at most, and of a fine one at most; how many fine ones a long text has, about.
-LEAST_WORDS, PIECE_WORDS, FINE_WORDS, FINE = 16, 32, 3, 8
+#: Words of a piece, at least and at most, and of a fine one at most.
+LEAST_WORDS, PIECE_WORDS, FINE_WORDS = 16, 32, 3
+#: Characters up to which all fine pieces count, about, and from which none does.
+FINE_WHOLE, FINE_UNTIL = 256, 4096
 #: Last characters of a word that end a piece.
 ENDS = ".!?"
 #: Cells of a sub-table of a shard.
@@ -63,15 +66,16 @@ RANGE_BITS, LEVEL_BITS, LEVELS = 6, 12, 3
 
 
 def pieces(text: Column, words: int, least: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?:\S+[^\S\n]+){{0,{least - 1}}}(?:\S*[^\s{ENDS}][^\S\n]+){{0,{words - least}}}\S+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?:\S++[^\S\n]++){{0,{least - 1}}}(?:\S++(?<![{ENDS}])[^\S\n]++){{0,{words - least}}}\S+"), F.lit(0))
 
 
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's pieces."""
     hashed = F.transform(pieces(text, PIECE_WORDS, LEAST_WORDS), lambda p: F.xxhash64(p))
-    rank = lambda p: F.pmod(F.xxhash64(p, F.lit(5)), F.lit(1 << 20))
-    fine = bound(pieces(text, FINE_WORDS), lambda all_: F.filter(all_, lambda p: rank(p) * F.size(all_) < FINE << 20))
-    return F.array_distinct(F.concat(hashed, F.transform(fine, lambda p: F.xxhash64(p, F.lit(7)))))
+    share = (F.lit(FINE_WHOLE) / F.greatest(F.lit(1), F.length(text)) - F.lit(FINE_WHOLE / FINE_UNTIL)) * F.lit(1 << 20)
+    fine = F.filter(pieces(text, FINE_WORDS), lambda p: F.pmod(F.xxhash64(p, F.lit(5)), F.lit(1 << 20)) < share)
+    fine = F.when(F.length(text) < FINE_UNTIL, F.transform(fine, lambda p: F.xxhash64(p, F.lit(7)))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(F.concat(hashed, fine))
 
 
 def own_shards(n_chars: Column) -> Column:
