@@ -40,6 +40,21 @@ def test_regression_numbers(spark):
     assert QUERIES["q_watch_windows"](spark, sf).count() == 6444
 
 
+def test_anchor_tips_are_from_before_tampering(spark, tmp_path):
+    """Of user 171 the very entry that was anchored, the 21st, is dropped from the log afterwards; no test table below sf0.1 has such a user."""
+    lengths = {171: 40, 346: 21, 521: 20, 3: 30, 21: 30, 25: 5, 45: 2, 87: 30}
+    con = duckdb.connect()
+    logs = " UNION ALL ".join(f"SELECT {u} AS user_id, unnest(range({n})) AS k" for u, n in lengths.items())
+    events = "SELECT user_id * 1000 + k AS event_id, TIMESTAMP '2024-01-01' + to_seconds(user_id + 7 * k) AS ts, user_id::BIGINT AS user_id, 'view' AS event_type, 1.5::DOUBLE AS value, 'p\"' || k AS props"
+    con.sql(f"COPY ({events} FROM ({logs}) ORDER BY hash(event_id)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = QUERIES["q_anchor_prefix"](spark, str(tmp_path)).toPandas(), con.sql(ORACLE_SQL["q_anchor_prefix"]).df()
+    assert rows(got) == rows(want)
+    of = got.set_index("user_id")
+    assert len(of) == len(lengths) and len(of.loc[171, "audit_tip"]) == 64 and not of.loc[171, "ok"]
+    assert {u: len(of.loc[u, "audit_tip"]) for u in (346, 521, 25, 45)} == {346: 64, 521: 0, 25: 0, 45: 0}
+
+
 def test_plans_of_tombstones_and_diff(spark):
     """Tombstones by path or content must not become a nested loop; a diff is one join."""
     plan = lambda name: QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -16,7 +16,7 @@ from tidemark.functions.hashing import audit_body, fan_out, json_string, purge_i
 from tidemark.operators import chains, chunks, diff, history, purge, replication, undo, watching
 from tidemark.plans import fixtures as fx
 from tidemark.sources import manifests
-from tidemark.sources.shared import shared_dir
+from tidemark.sources.shared import shared_dir, stored
 from tidemark.streaming.watch import OUTPUT as WATCHED
 from tidemark.streaming.watch import debounced
 
@@ -470,12 +470,10 @@ ANCHOR_SQL = """anchors AS (SELECT user_id, (user_id % 25)::BIGINT AS audit_len,
 FROM anchors a LEFT JOIN checked c ON c.user_id = a.user_id AND c.pos < a.audit_len GROUP BY a.user_id, a.audit_len, a.audit_tip""")
 def q_anchor_prefix(spark, sf):
     """A checkpoint of each user's log, of a length by user; tips are those before any tampering."""
-    log = fx.audit_chain(spark, sf)
-    users = log.select("user_id").distinct().withColumn("audit_len", F.col("user_id") % 25)
-    original = log.select("user_id", "seq", "hash")
-    anchors = users.join(original.withColumnRenamed("user_id", "u"), (F.col("user_id") == F.col("u")) & (F.col("seq") == F.col("audit_len") - 1), "left")
-    anchors = anchors.select("user_id", "audit_len", F.coalesce("hash", F.lit("")).alias("audit_tip"))
-    return chains.anchored(log, anchors, "user_id")
+    length = F.col("user_id") % 25
+    tip = F.coalesce(F.max(F.when(F.col("seq") == length - 1, F.col("hash"))), F.lit(""))
+    anchors = fx.linked_chain(spark, sf).groupBy("user_id").agg(tip.alias("audit_tip")).select("user_id", length.alias("audit_len"), "audit_tip")
+    return chains.anchored(fx.audit_chain(spark, sf), stored(anchors, "anchors"), "user_id")  # a row for each user, read twice
 
 
 FILES_SQL = """files AS (

@@ -120,8 +120,8 @@ HISTORY_SQL = """ev AS (
 )"""
 
 
-def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log for each user: user_id, line_no, seq, ts, event, detail, prev, hash. Some entries are altered, some dropped."""
+def linked_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log for each user as it was written: user_id, seq, ts, event, detail, prev, hash."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_type").alias("event"), F.col("props").alias("detail"))
     rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "ts", "event", "detail"))).alias("rows"))
     start = F.struct(F.lit("").alias("prev"), F.array().cast("array<struct<seq:bigint,ts:bigint,event:string,detail:string,prev:string,hash:string>>").alias("done"))
@@ -132,9 +132,13 @@ def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         entry = F.struct(seq.alias("seq"), row["ts"].alias("ts"), row["event"].alias("event"), row["detail"].alias("detail"), state["prev"].alias("prev"), hash_.alias("hash"))
         return F.struct(hash_.alias("prev"), F.concat(state["done"], F.array(entry)).alias("done"))
 
-    chained = rows.select("user_id", F.explode(F.aggregate("rows", start, link, lambda s: s["done"])).alias("e")).select("user_id", "e.*")
+    return rows.select("user_id", F.explode(F.aggregate("rows", start, link, lambda s: s["done"])).alias("e")).select("user_id", "e.*")
+
+
+def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs after tampering, with line_no: some entries are altered, some dropped."""
     u, seq = F.col("user_id"), F.col("seq")
-    altered = chained.withColumn("event", F.when((u % 5 == 2) & (seq == 11), "span").otherwise(F.col("event")))
+    altered = linked_chain(spark, sf_dir).withColumn("event", F.when((u % 5 == 2) & (seq == 11), "span").otherwise(F.col("event")))
     return altered.where(~((u % 7 == 3) & (seq == 20))).withColumn("line_no", seq)
 
 
